@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from packetlens.plans import problems
+from packetlens.plans import audit, packets, problems, shifts
+
+_PARTS = (problems, shifts, audit, packets)
 
 
 def queries() -> dict:
-    return {**problems.QUERIES}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in getattr(part, "ORACLE", {}).items()}
