@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetlens.operators.weights import ESTIMATORS, by_estimator
+
+MASSES = tuple(ESTIMATORS.values())
+
 
 def magnitude_bucket(value: Column) -> Column:
     """A monotone coarse bucket of a number (eighth octaves), for two-level running sums."""
@@ -25,37 +29,57 @@ def running_sum(df: DataFrame, *, keys: Sequence[str], order: str, value: str, o
     return b.join(sums, [*keys, "__b"]).withColumn(out, F.col("__before") + F.sum(value).over(inner)).drop("__b", "__before")
 
 
-def signed_masses(masses: DataFrame, pairs: DataFrame, *, side: str, keys: Sequence[str]) -> DataFrame:
-    """Left minus right mass of every value of each pair of groups.
+def signed_masses(shares: DataFrame, pairs: DataFrame, *, side: str, keys: Sequence[str]) -> DataFrame:
+    """Left minus right mass of every value of each pair of groups, for both estimators.
 
-    ``pairs`` has ``pair_id, left_side, right_side``; ``side`` is the column of ``masses`` they
+    ``pairs`` has ``pair_id, left_side, right_side``; ``side`` is the column of ``shares`` they
     name; ``keys`` are the columns both sides must agree in.  Pairs join value histograms,
-    never observations.
+    never observations.  ``lo`` and ``hi`` tell which sides hold the value.
     """
     ends = pairs.select(
         "pair_id",
         F.inline(
             F.array(
-                F.struct(F.col("left_side").alias(side), F.lit(1.0).alias("sign")),
-                F.struct(F.col("right_side").alias(side), F.lit(-1.0).alias("sign")),
+                F.struct(F.col("left_side").alias(side), F.lit(1).alias("sign")),
+                F.struct(F.col("right_side").alias(side), F.lit(-1).alias("sign")),
             )
         ),
     )
-    signed = masses.join(ends, side).withColumn("signed", F.col("mass") * F.col("sign"))
-    both = signed.groupBy("pair_id", *keys).agg(F.countDistinct("sign").alias("sides")).where("sides = 2")
-    diff = signed.groupBy("pair_id", *keys, "value").agg(F.sum("signed").alias("dm"))
-    return diff.join(both.drop("sides"), ["pair_id", *keys])
+    return shares.join(ends, side).groupBy("pair_id", *keys, "value").agg(
+        *[F.sum(F.col(m) * F.col("sign")).alias(m) for m in MASSES], F.min("sign").alias("lo"), F.max("sign").alias("hi")
+    )
+
+
+def _clamped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distances by estimator, within 0..1, of pairs that have both sides."""
+    rows = df.where("lo = -1 and hi = 1").select(
+        *keys, *[F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(m))).alias(m) for m in MASSES]
+    )
+    return by_estimator(rows, keep=keys, out="distance")
 
 
 def weighted_ks(diff: DataFrame, *, keys: Sequence[str]) -> DataFrame:
-    """Largest gap between the two distribution functions (right-continuous), in 0..1."""
+    """Largest gap between the two distribution functions (right-continuous).
+
+    Running sums go bucket by bucket of the value; each bucket keeps its total and the extremes
+    of its inner running sum, and the second level runs over those few rows only."""
     k = ["pair_id", *keys]
-    cum = running_sum(diff, keys=k, order="value", value="dm", out="gap")
-    top = F.max(F.abs("gap"))
-    return cum.groupBy(*k).agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), top)).alias("distance"))
+    b = diff.withColumn("__b", magnitude_bucket(F.col("value")))
+    w = Window.partitionBy(*k, "__b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inner = b.select(*k, "__b", "lo", "hi", *MASSES, *[F.sum(m).over(w).alias(f"{m}_c") for m in MASSES])
+    ends = [f(c).alias(n) for m in MASSES for f, c, n in ((F.sum, m, f"{m}_s"), (F.min, f"{m}_c", f"{m}_n"), (F.max, f"{m}_c", f"{m}_x"))]
+    buckets = inner.groupBy(*k, "__b").agg(*ends, F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    over = Window.partitionBy(*k).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = buckets.select("*", *[F.coalesce(F.sum(f"{m}_s").over(over), F.lit(0.0)).alias(f"{m}_b") for m in MASSES])
+    top = before.groupBy(*k).agg(
+        *[F.max(F.greatest(F.abs(F.col(f"{m}_b") + F.col(f"{m}_n")), F.abs(F.col(f"{m}_b") + F.col(f"{m}_x")))).alias(m) for m in MASSES],
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+    )
+    return _clamped(top, k)
 
 
 def total_variation(diff: DataFrame, *, keys: Sequence[str]) -> DataFrame:
-    """Half the sum of absolute mass differences, in 0..1."""
-    half = F.sum(F.abs("dm")) * 0.5
-    return diff.groupBy("pair_id", *keys).agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), half)).alias("distance"))
+    """Half the sum of absolute mass differences."""
+    k = ["pair_id", *keys]
+    half = diff.groupBy(*k).agg(*[(F.sum(F.abs(m)) * 0.5).alias(m) for m in MASSES], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return _clamped(half, k)

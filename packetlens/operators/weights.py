@@ -12,54 +12,67 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ESTIMATORS = ("session_balanced", "packet_pooled")
+#: estimator -> its column of masses
+ESTIMATORS = {"session_balanced": "balanced", "packet_pooled": "pooled"}
 
 
-def feature_rows(
-    df: DataFrame,
-    *,
-    group: Sequence[str],
-    session: str,
-    features: Mapping[str, Column],
-    strata: Column | None = None,
-    keep: Sequence[str] = (),
+def value_masses(
+    df: DataFrame, *, group: Sequence[str], session: str, features: Mapping[str, Column], direction: str | None = None
 ) -> DataFrame:
-    """Long form: one row per observation, stratum and feature with a value (NULLs left out).
+    """Mass of every value of a group, feature and stratum: ``balanced`` (sums to the number of
+    sessions) and ``pooled`` (sums to the number of observations).
 
-    ``strata`` is an array of the strata an observation belongs to, by default ``all``.
-    Values keep one type: give numbers or strings, not both.
+    Strata are ``all`` and, with ``direction``, each direction of its own; NULL values take no
+    part.  Observations are exchanged once by session, as narrow as they come; the in-session
+    counts of all features are windows over that one sort.  Only then are features laid out
+    in rows, which the next aggregation takes in before its exchange.  Features must be of
+    one type.
     """
-    strata = F.array(F.lit("all")) if strata is None else strata
-    named = F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("value")) for n, c in features.items()])
-    base = df.select(*group, *keep, F.col(session).alias("session"), F.explode(strata).alias("stratum"), named.alias("f"))
-    return base.select(*group, *keep, "session", "stratum", F.inline("f")).where("value is not null")
-
-
-def value_masses(long: DataFrame, *, group: Sequence[str]) -> DataFrame:
-    """Mass of every value of a group, feature and stratum: ``balanced`` and ``pooled`` (not
-    yet normalised), from one exchange by session and one partially aggregated by value."""
-    key = [*group, "feature", "stratum"]
-    per = long.groupBy(*key, "session", "value").agg(F.count(F.lit(1)).alias("n"))
-    of_session = Window.partitionBy(*group, "session", "feature", "stratum")
-    per = per.repartition(*group, "session").withColumn("in_session", F.sum("n").over(of_session))
-    return per.groupBy(*key, "value").agg(
-        F.sum(F.col("n") / F.col("in_session")).alias("balanced"), F.sum("n").alias("pooled")
+    f = [f"__f{i}" for i in range(len(features))]
+    cols = [*group, F.col(session).alias("__session"), *[c.alias(n) for n, c in zip(f, features.values())]]
+    base = df.select(*cols, *([F.col(direction).alias("__dir")] if direction else []))
+    per = [*group, "__session"]
+    strata = [("all", Window.partitionBy(*per), "__a")]
+    if direction:
+        own = Window.partitionBy(*per, "__dir")
+        base = base.repartition(*per).select("*", *[F.count(n).over(own).alias(f"{n}__d") for n in f])
+        strata.append((None, own, "__d"))
+    base = base.select("*", *[F.count(n).over(strata[0][1]).alias(f"{n}__a") for n in f])
+    laid = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("feature"),
+                (F.lit(label) if label else F.col("__dir")).alias("stratum"),
+                F.col(n).alias("value"),
+                F.try_divide(F.lit(1.0), F.col(n + tail)).alias("r"),
+            )
+            for n, name in zip(f, features)
+            for label, _, tail in strata
+        ]
+    )
+    rows = base.select(*group, F.inline(laid)).where("value is not null and stratum is not null")
+    return rows.groupBy(*group, "feature", "stratum", "value").agg(
+        F.sum("r").alias("balanced"), F.count(F.lit(1)).alias("pooled")
     )
 
 
-def group_totals(long: DataFrame, *, group: Sequence[str]) -> DataFrame:
+def group_totals(masses: DataFrame, *, group: Sequence[str]) -> DataFrame:
     """``sessions`` and ``observations`` of every group, feature and stratum."""
-    key = [*group, "feature", "stratum"]
-    per = long.groupBy(*key, "session").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy(*key).agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("observations"))
+    return masses.groupBy(*group, "feature", "stratum").agg(
+        F.round(F.sum("balanced")).cast("long").alias("sessions"), F.sum("pooled").alias("observations")
+    )
 
 
 def normalized(masses: DataFrame, *, group: Sequence[str]) -> DataFrame:
-    """Masses of each estimator as shares of their group: ``estimator, mass``."""
+    """Masses of both estimators as shares of their group (columns ``balanced``, ``pooled``)."""
     key = [*group, "feature", "stratum"]
-    total = masses.groupBy(*key).agg(F.sum("balanced").alias("tb"), F.sum("pooled").alias("tp"))
-    both = F.array(
-        F.struct(F.lit("session_balanced").alias("estimator"), (F.col("balanced") / F.col("tb")).alias("mass")),
-        F.struct(F.lit("packet_pooled").alias("estimator"), (F.col("pooled") / F.col("tp")).alias("mass")),
+    shares = masses.join(group_totals(masses, group=group), key)
+    return shares.select(
+        *key, "value", (F.col("balanced") / F.col("sessions")).alias("balanced"), (F.col("pooled") / F.col("observations")).alias("pooled")
     )
-    return masses.join(total, key).select(*key, "value", F.inline(both))
+
+
+def by_estimator(df: DataFrame, *, keep: Sequence[str], out: str) -> DataFrame:
+    """One row per estimator instead of one column each."""
+    both = F.array(*[F.struct(F.lit(e).alias("estimator"), F.col(c).alias(out)) for e, c in ESTIMATORS.items()])
+    return df.select(*keep, F.inline(both))

@@ -13,37 +13,35 @@ from packetlens.plans.observations import (
 )
 
 KEYS = ["cohort_scope", "class_name", "feature", "stratum", "estimator"]
-STRATA = F.array
+UNIT = KEYS[:-1]
 RANKS = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
-def _strata():
-    return F.array_distinct(F.array(F.lit("all"), F.col("direction")))
+def _numeric_masses(obs: DataFrame, names=NUMERIC) -> DataFrame:
+    feats = {n: F.col(n).cast("long") for n in names}
+    return weights.value_masses(obs, group=GROUP, session="session_view_index", features=feats, direction="direction")
 
 
-def _numeric_long(obs: DataFrame, names=NUMERIC) -> DataFrame:
-    feats = {n: F.col(n).cast("long") for n in names}
-    return weights.feature_rows(obs, group=GROUP, session="session_view_index", features=feats, strata=_strata())
+def _categorical_masses(obs: DataFrame, names=CATEGORICAL) -> DataFrame:
+    return weights.value_masses(obs, group=GROUP, session="session_view_index", features={n: F.col(n) for n in names})
 
 
-def _categorical_long(obs: DataFrame, names=CATEGORICAL) -> DataFrame:
-    return weights.feature_rows(
-        obs, group=GROUP, session="session_view_index", features={n: F.col(n) for n in names}
-    )
+def _shares(masses: DataFrame) -> DataFrame:
+    return weights.normalized(masses, group=GROUP)
 
 
-def _shares(long: DataFrame) -> DataFrame:
-    return weights.normalized(weights.value_masses(long, group=GROUP), group=GROUP)
+def _by_estimator(masses: DataFrame) -> DataFrame:
+    return weights.by_estimator(_shares(masses), keep=[*GROUP, "feature", "stratum", "value"], out="mass")
 
 
 def _distances(obs: DataFrame, pairs: DataFrame, numeric=NUMERIC, categorical=CATEGORICAL) -> DataFrame:
     parts = []
     if numeric:
-        ks = distances.signed_masses(_shares(_numeric_long(obs, numeric)), pairs, side="configuration_id", keys=KEYS)
-        parts.append(distances.weighted_ks(ks, keys=KEYS).withColumn("distance_statistic", F.lit("ks")))
+        ks = distances.signed_masses(_shares(_numeric_masses(obs, numeric)), pairs, side="configuration_id", keys=UNIT)
+        parts.append(distances.weighted_ks(ks, keys=UNIT).withColumn("distance_statistic", F.lit("ks")))
     if categorical:
-        tv = distances.signed_masses(_shares(_categorical_long(obs, categorical)), pairs, side="configuration_id", keys=KEYS)
-        parts.append(distances.total_variation(tv, keys=KEYS).withColumn("distance_statistic", F.lit("total_variation")))
+        tv = distances.signed_masses(_shares(_categorical_masses(obs, categorical)), pairs, side="configuration_id", keys=UNIT)
+        parts.append(distances.total_variation(tv, keys=UNIT).withColumn("distance_statistic", F.lit("total_variation")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -75,13 +73,13 @@ def _one_feature_sql(estimator: str, numeric, categorical, strata) -> str:
 
 def weighted_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session-balanced quantiles of every group and numeric feature (all directions)."""
-    sh = _shares(_numeric_long(observations(spark, sf_dir).withColumn("cohort_scope", F.lit("all"))))
+    sh = _by_estimator(_numeric_masses(observations(spark, sf_dir).withColumn("cohort_scope", F.lit("all"))))
     sh = sh.where("estimator = 'session_balanced' and stratum = 'all'")
     return descriptives.weighted_quantiles(sh, keys=[*GROUP, "feature"], ranks=RANKS).drop("cohort_scope")
 
 
 def numeric_descriptives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sh = _shares(_numeric_long(scoped(observations(spark, sf_dir))))
+    sh = _by_estimator(_numeric_masses(scoped(observations(spark, sf_dir))))
     keys = [*GROUP, "feature", "stratum", "estimator"]
     d = descriptives.numeric_descriptives(sh, keys=keys)
     unit = F.when(F.col("feature") == "iat_us", 1000.0).otherwise(1.0)
@@ -90,12 +88,12 @@ def numeric_descriptives(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).otherwise("bytes")
     return d.select(
         *keys, label.alias("unit"),
-        *[F.round(F.col(c) / unit, 6).alias(c) for c in ("mean", "q10", "q25", "q50", "q75", "q90", "iqr", "minimum", "maximum")],
+        *[F.round(F.col(c) / unit + 1e-9, 6).alias(c) for c in ("mean", "q10", "q25", "q50", "q75", "q90", "iqr", "minimum", "maximum")],
     )
 
 
 def categorical_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sh = _shares(_categorical_long(scoped(observations(spark, sf_dir))))
+    sh = _by_estimator(_categorical_masses(scoped(observations(spark, sf_dir))))
     fin = F.col("value").contains("FIN") | F.col("value").contains("RST")
     return sh.select(
         *GROUP, "feature", "estimator", F.col("value").alias("category"), F.round("mass", 9).alias("prevalence"),
@@ -108,8 +106,8 @@ def marginal_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = observations(spark, sf_dir)
     obs, pairs = scoped(plain), configuration_pairs(plain)
     d = _distances(obs, pairs)
-    totals = weights.group_totals(_numeric_long(obs), group=GROUP).unionByName(
-        weights.group_totals(_categorical_long(obs), group=GROUP)
+    totals = weights.group_totals(_numeric_masses(obs), group=GROUP).unionByName(
+        weights.group_totals(_categorical_masses(obs), group=GROUP)
     )
     named = pairs.select("pair_id", "contrast", "left_side", "right_side")
     on = ["cohort_scope", "class_name", "feature", "stratum"]
@@ -366,7 +364,7 @@ _DESC_SQL = f"""WITH {OBS_SQL},
 cu AS (SELECT *, SUM(mass) OVER (PARTITION BY {_DESC_KEYS} ORDER BY value ROWS UNBOUNDED PRECEDING) AS cum FROM ns),
 ag AS (SELECT {_DESC_KEYS}, SUM(value*mass) AS mean, {', '.join(f"MIN(CASE WHEN cum>={r}-1E-12 THEN value END) AS q{round(r * 100):02d}" for r in RANKS)}, MIN(value) AS minimum, MAX(value) AS maximum FROM cu GROUP BY ALL)
 SELECT {_DESC_KEYS}, CASE feature WHEN 'iat_us' THEN 'ms' WHEN 'ipv4_ttl' THEN 'hops' WHEN 'tcp_window_raw' THEN 'raw' ELSE 'bytes' END AS unit,
-{', '.join(f"ROUND({e}/(CASE WHEN feature='iat_us' THEN 1000.0E0 ELSE 1.0E0 END),6) AS {c}" for c, e in [('mean', 'mean'), *[(f'q{round(r * 100):02d}', f'q{round(r * 100):02d}') for r in RANKS], ('iqr', '(q75-q25)'), ('minimum', 'minimum'), ('maximum', 'maximum')])} FROM ag"""
+{', '.join(f"ROUND({e}/(CASE WHEN feature='iat_us' THEN 1000.0E0 ELSE 1.0E0 END)+1E-9,6) AS {c}" for c, e in [('mean', 'mean'), *[(f'q{round(r * 100):02d}', f'q{round(r * 100):02d}') for r in RANKS], ('iqr', '(q75-q25)'), ('minimum', 'minimum'), ('maximum', 'maximum')])} FROM ag"""
 _PREV_SQL = f"""WITH {OBS_SQL},
 {long_sql()},{mass_sql('clong', 'cs', _GROUP_SQL)}
 SELECT {_GROUP_SQL}, feature, estimator, value AS category, ROUND(mass,9) AS prevalence,
