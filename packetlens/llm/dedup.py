@@ -13,7 +13,10 @@ from packetlens.llm import bloom
 
 def canonical_value(column: Column) -> Column:
     """Only Unicode letters and digits, letter case removed; NULL and blank give ''."""
-    folded = F.lower(F.upper(F.coalesce(column.cast("string"), F.lit(""))))
+    # Upper case first, so that characters that become two (such as ß) meet their other case;
+    # the capital sharp s has no upper case of its own.
+    upper = F.replace(F.upper(F.coalesce(column.cast("string"), F.lit(""))), F.lit("\u1e9e"), F.lit("SS"))
+    folded = F.lower(upper)
     return F.regexp_replace(folded, r"[^\p{L}\p{Nd}]+", "")
 
 
