@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packetlens.runtime import materialize
 
-SHINGLE = 5
+SHINGLE = 7
 MAX_EDITS = 2
 #: Counts are shared for shingles that hold at least this part of all occurrences, hence
 #: for at most 1 / COMMON of them; any other shingle counts as rare.
