@@ -8,16 +8,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetlens.runtime import materialize
+
+
+def numbered(df: DataFrame, *, order: Sequence[str], out: str) -> DataFrame:
+    """Consecutive numbers from 1 along a total order, without sorting everything in one task:
+    rows go to ranges of the order, ranges are numbered inside, their sizes are summed."""
+    placed = materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    out_rows = placed.join(sizes.select("__p", before.alias("__before")), "__p")
+    return out_rows.withColumn(out, (F.col("__before") + inside).cast("long")).drop("__p", "__before")
+
 
 def first_wins(df: DataFrame, *, key: Column, order: Sequence[str], number: str | None = None, prefix: str = "P") -> DataFrame:
     """The first row of every key in ``order`` (which must be total); with ``number`` also an
     id in order of first appearance.  The first row is found by a partially aggregated
-    minimum; only the ids need one global order of the survivors."""
+    minimum."""
     rows = df.withColumn("__key", key)
     cols = [c for c in df.columns if c not in order]
     best = rows.groupBy("__key").agg(F.min(F.struct(*order, *cols)).alias("r")).select("__key", "r.*")
     if number:
-        best = best.withColumn(number, F.format_string(f"{prefix}%05d", F.row_number().over(Window.orderBy(*order))))
+        best = numbered(best, order=order, out=number).withColumn(number, F.format_string(f"{prefix}%05d", number))
     return best.withColumnRenamed("__key", "dedup_key")
 
 
