@@ -121,3 +121,57 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_report": p5_report,
 }
+
+
+# Oracle SQL.  Quoted values are matched whole, unquoted ones up to the next separator.
+_TOKEN = r"""'"(?:[^"]|"")*"|''(?:[^'']|'''')*''|[^''"\s|;,/&+·•；，、｜／()\[\]{}<>（）［］【】]+'"""
+_VALUE = """trim(CASE WHEN x LIKE '"%' THEN replace(substr(x,2,length(x)-2),'""','"') WHEN x LIKE '''%' THEN replace(substr(x,2,length(x)-2),'''''','''') ELSE x END)"""
+
+
+def _values_sql(fields: list[tuple[str, str, str]], extra: str = "") -> str:
+    """CTE ``val``: every value of (table, key, field) with its place."""
+    more = f", {extra}" if extra else ""
+    src = " UNION ALL ".join(
+        f"SELECT DISTINCT '{t}' AS source_table, {k} AS row_key, '{f}' AS field_name, {f} AS t{more} FROM {t}" for t, k, f in fields
+    )
+    return (
+        f"src AS ({src}), tok AS (SELECT * EXCLUDE (l, t), UNNEST(l) AS x, generate_subscripts(l,1) AS n FROM (SELECT *, regexp_extract_all(t,{_TOKEN}) AS l FROM src)),\n"
+        f"val AS (SELECT * EXCLUDE (x), {_VALUE} AS item FROM tok)"
+    )
+
+
+_RQ2, _FIX = ("rq2_paper_summary", "rq2_paper_summary_id"), ("structural_corrections", "normalization_id")
+_P4_SQL = f"""WITH {_values_sql([(*_RQ2, "holdout_design_ids"), (*_RQ2, "not_documented_design_ids"), (*_FIX, "public_entity_ids")])}
+SELECT source_table, row_key, field_name, CAST(row_number() OVER (PARTITION BY source_table, row_key, field_name ORDER BY n) AS INTEGER) AS item_no, item FROM val WHERE item<>''"""
+_TARGETS_SQL = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, upper(trim({key})) AS id, recorded_at AS a, withdrawn_at AS z FROM {t}"
+    for kind, t, key in (
+        ("publication", "publications", "record_id"), ("design", "evaluation_designs", "design_id"), ("scheme", "class_schemes", "scheme_id"),
+        ("dataset", "canonical_datasets", "dataset_id"), ("evidence", "evidence", "evidence_id"),
+    )
+)
+_P5_SQL = f"""WITH {_values_sql([(*_RQ2, "holdout_design_ids")], "recorded_at, 'design' AS kind")},
+src2 AS (SELECT DISTINCT 'structural_corrections' AS source_table, normalization_id AS row_key, f AS field_name, t, recorded_at, kind FROM
+ (SELECT *, 'public_entity_ids' AS f, public_entity_ids AS t, lower(trim(entity_type)) AS kind FROM structural_corrections UNION ALL SELECT *, 'evidence_ids', evidence_ids, 'evidence' FROM structural_corrections)),
+val2 AS (SELECT source_table, row_key, field_name, recorded_at, kind, {_VALUE} AS item FROM (SELECT *, UNNEST(regexp_extract_all(t,{_TOKEN})) AS x FROM src2)),
+ref AS (SELECT source_table, row_key, field_name, recorded_at, kind, upper(item) AS ref_id FROM val WHERE item<>'' UNION SELECT source_table, row_key, field_name, recorded_at, kind, upper(item) FROM val2 WHERE item<>''
+ UNION SELECT 'rq2_paper_summary', rq2_paper_summary_id, 'paper_id', recorded_at, 'publication', upper(trim(paper_id)) FROM rq2_paper_summary WHERE trim(paper_id)<>''),
+tgt AS ({_TARGETS_SQL}),
+orphan AS (SELECT * FROM ref WHERE NOT EXISTS (SELECT 1 FROM tgt WHERE tgt.kind=ref.kind AND tgt.id=ref.ref_id AND tgt.a<=ref.recorded_at AND (tgt.z IS NULL OR tgt.z>ref.recorded_at)))"""
+_P2_SQL = r"""WITH p AS (SELECT DISTINCT packet_id, regexp_replace(regexp_replace(lower(trim(source_ip)),'^::ffff:',''),'(^|\.)0+([0-9])','\1\2','g') AS source_ip, source_port,
+ epoch_us(captured_at) AS us, (flags&2)<>0 AND (flags&16)=0 AS syn, sequence FROM tcp_packets WHERE source_ip IS NOT NULL AND source_port IS NOT NULL),
+g AS (SELECT *, coalesce(us-lag(us) OVER w>60000000,TRUE) AS gap FROM p WINDOW w AS (PARTITION BY source_ip, source_port ORDER BY us, packet_id)),
+b AS (SELECT *, SUM(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY source_ip, source_port ORDER BY us, packet_id ROWS UNBOUNDED PRECEDING) AS block FROM g),
+s AS (SELECT *, last_value(CASE WHEN syn THEN sequence END IGNORE NULLS) OVER (PARTITION BY source_ip, source_port, block ORDER BY us, packet_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM b),
+n AS (SELECT *, SUM(CASE WHEN gap OR (syn AND (prev IS NULL OR prev<>sequence)) THEN 1 ELSE 0 END) OVER (PARTITION BY source_ip, source_port ORDER BY us, packet_id ROWS UNBOUNDED PRECEDING) AS ses FROM s),
+r AS (SELECT source_ip, source_port, arg_min(packet_id, (us, packet_id)) AS first_packet_id, arg_max(packet_id, (us, packet_id)) AS last_packet_id, MIN(us) AS session_start_us, MAX(us) AS session_end_us,
+ MAX(us)-MIN(us) AS duration_us, COUNT(*) AS packet_count FROM n GROUP BY source_ip, source_port, ses)"""
+
+ORACLE = {
+    "p2_found": f"{_P2_SQL} SELECT first_packet_id, last_packet_id FROM r",
+    "p2_sessions": f"{_P2_SQL} SELECT * FROM r",
+    "p4_found": _P4_SQL,
+    "p5_found": f"{_P5_SQL} SELECT DISTINCT source_table, row_key, field_name, ref_id FROM orphan",
+    "p5_report": f"""{_P5_SQL} SELECT source_table, field_name, CAST(date_trunc('month', recorded_at) AS DATE) AS period, COUNT(*) AS orphans FROM
+ (SELECT DISTINCT source_table, row_key, field_name, ref_id, recorded_at FROM orphan) GROUP BY ALL""",
+}
