@@ -176,5 +176,46 @@ def queries() -> dict:
     }
 
 
+_UNKNOWN = ", ".join(f"'{w}'" for w in splits.UNKNOWN_WORDS)
+_KEY = "lower(trim({0}, chr(32)||chr(9)||chr(10)||chr(13)))"
+
+
+def _relation(column: str, tag: str) -> str:
+    k = _KEY.format(column)
+    return f"SELECT session_id AS s, '{tag}'||{k} AS k FROM session_manifest WHERE {k} NOT IN ({_UNKNOWN}) AND NOT regexp_matches({k},'^0+$')"
+
+
+_P3_SQL = f"""WITH RECURSIVE t AS ({_relation("parent_group_id", "p")} UNION {_relation("pcap_sha256", "h")}),
+h AS (SELECT k, MIN(s) AS m FROM t GROUP BY k), e AS (SELECT s AS a, m AS b FROM t JOIN h USING (k) WHERE s<>m UNION SELECT m, s FROM t JOIN h USING (k) WHERE s<>m),
+w(x,y) AS (SELECT DISTINCT session_id, session_id FROM session_manifest UNION SELECT w.x, e.b FROM w JOIN e ON w.y=e.a),
+g AS (SELECT x AS session_id, MIN(y) AS group_session_id FROM w GROUP BY x)
+SELECT group_session_id, session_id FROM g WHERE session_id<>group_session_id"""
+
+_URL = r"""regexp_replace(regexp_replace(trim(url),'^([a-zA-Z][a-zA-Z0-9+.-]*:)?//',''),'[?#].*$','','s')"""
+_URL = rf"""nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url_decode(replace({_URL},'+','%2B'))),'^[^/@]*@',''),'^www\.',''),'^([^/:]*):[0-9]*(/|$)','\1\2'),'(/+(index\.html)?)+$',''),'')"""
+_P6_SQL = rf"""WITH r AS (SELECT DISTINCT record_no, lower(trim(split)) AS sp, session_id, nullif(regexp_replace(lower(page_id),'[^\p{{L}}\p{{Nd}}]+','','g'),'') AS pk, {_URL} AS u FROM session_manifest WHERE split IS NOT NULL),
+e AS (SELECT * FROM r WHERE sp IN ('validation','test')), t AS (SELECT * FROM r WHERE sp='train'),
+near AS (SELECT a.u AS ua, b.u AS ub FROM (SELECT DISTINCT u, length(u) AS n FROM e WHERE u IS NOT NULL) a JOIN (SELECT DISTINCT u, length(u) AS n FROM t WHERE u IS NOT NULL) b
+ ON a.n BETWEEN b.n-2 AND b.n+2 AND levenshtein(a.u,b.u)<=2),
+p AS (SELECT e.record_no AS a, t.record_no AS b FROM e JOIN t USING (session_id) UNION SELECT e.record_no, t.record_no FROM e JOIN t USING (pk)
+ UNION SELECT e.record_no, t.record_no FROM near JOIN e ON e.u=ua JOIN t ON t.u=ub)"""
+_CANON = ", ".join(rf"regexp_replace(lower(coalesce({c},'')),'[^\p{{L}}\p{{Nd}}]+','','g')" for c in ("title", "doi", "venue", "year"))
+_P7_SQL = f"""WITH k AS (SELECT record_id, list_sort([{_CANON}]) AS k FROM publications), g AS (SELECT k, MIN(record_id) AS f, COUNT(*) AS n FROM k GROUP BY k)"""
+_P10_SQL = """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text)>=200), w AS (SELECT doc_id, UNNEST(range(0,n-199)) AS i, text FROM d),
+h AS (SELECT doc_id, i, md5_number(substr(text,i+1,200)) AS g FROM w), s AS (SELECT g FROM h GROUP BY g HAVING MIN(doc_id)<MAX(doc_id)), c AS (SELECT doc_id, i FROM h SEMI JOIN s USING (g)),
+f AS (SELECT *, coalesce(i>lag(i) OVER (PARTITION BY doc_id ORDER BY i)+200,TRUE) AS fresh FROM c), r AS (SELECT *, SUM(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM f),
+spans AS (SELECT doc_id, MIN(i) AS span_start, MAX(i)+200 AS span_end FROM r GROUP BY doc_id, run)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": _P3_SQL,
+        "p6_found": f"{_P6_SQL} SELECT DISTINCT least(a,b) AS record_no_a, greatest(a,b) AS record_no_b FROM p",
+        "p6_report": f"""{_P6_SQL} SELECT r.sp AS split, m.class_name, COUNT(DISTINCT record_no) AS overlapping_records FROM r JOIN (SELECT DISTINCT record_no, class_name FROM session_manifest) m USING (record_no)
+ WHERE record_no IN (SELECT a FROM p) GROUP BY 1,2""",
+        "p7_found": f"{_P7_SQL} SELECT f AS first_record_id, record_id AS copy_record_id FROM k JOIN g USING (k) WHERE record_id<>f",
+        "p7_copies": f"{_P7_SQL} SELECT f AS record_id, n AS copies FROM g",
+        "p10_found": f"{_P10_SQL} SELECT * FROM spans",
+        "p10_share": f"""{_P10_SQL}, c2 AS (SELECT doc_id, SUM(span_end-span_start) AS x FROM spans GROUP BY 1) SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(coalesce(x,0) AS BIGINT) AS shared_chars,
+ CASE WHEN length(text)>0 THEN coalesce(x,0)*1.0E0/length(text) END AS share FROM documents LEFT JOIN c2 USING (doc_id)""",
+    }
