@@ -41,16 +41,15 @@ def url_key(column: Column) -> Column:
     return F.when(text != "", text)
 
 
-def _prefixes(texts: DataFrame, rarity: dict, q: int, edits: int) -> DataFrame:
+def _prefixes(texts: DataFrame, shared, q: int, edits: int) -> DataFrame:
     """The ``edits * q + 1`` rarest shingles of each text, with their places."""
-    shared = texts.sparkSession.sparkContext.broadcast(rarity)
     take = edits * q + 1
 
     def run(batches):
         common = shared.value
         for pdf in batches:
-            ids, grams, places, sizes, sides = [], [], [], [], []
-            for i, t, in_eval in zip(pdf["id"], pdf["text"], pdf["in_eval"]):
+            ids, grams, places, sizes = [], [], [], []
+            for i, t in zip(pdf["id"], pdf["text"]):
                 found = [(common.get(t[p : p + q], 0), t[p : p + q], p) for p in range(len(t) - q + 1)]
                 found.sort()
                 for _, g, p in found[:take]:
@@ -58,10 +57,9 @@ def _prefixes(texts: DataFrame, rarity: dict, q: int, edits: int) -> DataFrame:
                     grams.append(g)
                     places.append(p)
                     sizes.append(len(t))
-                    sides.append(in_eval)
-            yield pd.DataFrame({"id": ids, "gram": grams, "place": places, "size": sizes, "in_eval": sides})
+            yield pd.DataFrame({"id": ids, "gram": grams, "place": places, "size": sizes})
 
-    return texts.mapInPandas(run, "id long, gram string, place int, size int, in_eval boolean")
+    return texts.select("id", "text").mapInPandas(run, "id long, gram string, place int, size int")
 
 
 def _short_variants(text: Column, edits: int) -> Column:
@@ -112,9 +110,9 @@ def near_texts(
     grams = materialize(grams, "shingles")
     total = grams.agg(F.sum("n")).first()[0] or 0
     rarity = {r["gram"]: r["n"] for r in grams.where(F.col("n") >= max(2, int(total * common))).toLocalIterator()}
-    marks = _prefixes(both, rarity, q, edits)
-    a = marks.where("in_eval").select("gram", F.col("id").alias("ia"), F.col("place").alias("pa"), F.col("size").alias("sa"))
-    b = marks.where("not in_eval").select("gram", F.col("id").alias("ib"), F.col("place").alias("pb"), F.col("size").alias("sb"))
+    shared = both.sparkSession.sparkContext.broadcast(rarity)
+    a = _prefixes(both.where("in_eval"), shared, q, edits).toDF("ia", "gram", "pa", "sa")
+    b = _prefixes(both.where("not in_eval"), shared, q, edits).toDF("ib", "gram", "pb", "sb")
     hits = a.join(b, "gram").where(
         (F.abs(F.col("pa") - F.col("pb")) <= edits) & (F.abs(F.col("sa") - F.col("sb")) <= edits)
     ).select("ia", "ib")
