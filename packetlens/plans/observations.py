@@ -26,10 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per observed packet of a known class, under one spelling of its group."""
+def observations(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """One row per observed packet of a known class, under one spelling of its group; with
+    ``once`` false also rows delivered twice, where only distinct keys are read from it."""
     o = table(spark, sf_dir, "packet_observations")
-    return o.where("class_name is not null").select(
+    rows = o.where("class_name is not null").select(
         "protocol_id",
         F.upper(F.replace(F.trim("configuration_id"), F.lit("_"), F.lit("-"))).alias("configuration_id"),
         F.rtrim(F.lower(F.trim("class_name")), F.lit(".")).alias("class_name"),
@@ -39,7 +40,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         *NUMERIC[:-1],
         F.when(F.col("iat_us") >= 0, F.col("iat_us")).alias("iat_us"),
         "tcp_flag_pattern",
-    ).distinct()
+    )
+    return rows.distinct() if once else rows
 
 
 def scoped(obs: DataFrame) -> DataFrame:

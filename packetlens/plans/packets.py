@@ -78,7 +78,7 @@ def flag_mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unordered_pair_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = configuration_pairs(observations(spark, sf_dir))
+    p = configuration_pairs(observations(spark, sf_dir, once=False))
     return p.select("pair_id", T.unordered_key(F.col("right_side"), F.col("left_side")).alias("unordered_configuration_key"))
 
 
@@ -152,7 +152,7 @@ ROUTES = {m: ({"temporal": f"{m}_temporal", "all": f"{m}_base"} if m in ("cnn",
 
 def _cells(spark, sf_dir):
     """Directed evaluations: every configuration on itself, and both ways over every pair."""
-    obs = observations(spark, sf_dir)
+    obs = observations(spark, sf_dir, once=False)
     same = obs.select("configuration_id").distinct().select(
         F.lit("matched").alias("evaluation_kind"), F.col("configuration_id").alias("source_configuration_id"), F.col("configuration_id").alias("target_configuration_id")
     )

@@ -51,7 +51,7 @@ def _distances(obs: DataFrame, pairs: DataFrame, numeric=NUMERIC, categorical=CA
 def _one_feature(estimator: str, numeric, categorical, strata: tuple[str, ...]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         obs = observations(spark, sf_dir).withColumn("cohort_scope", F.lit("all"))
-        d = _distances(obs, configuration_pairs(observations(spark, sf_dir)), numeric, categorical)
+        d = _distances(obs, configuration_pairs(observations(spark, sf_dir, once=False)), numeric, categorical)
         return d.where((F.col("estimator") == estimator) & F.col("stratum").isin(*strata)).select(
             "pair_id", "class_name", "feature", "stratum", F.round("distance", 9).alias("distance")
         )
@@ -104,7 +104,7 @@ def categorical_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marginal_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distance: scope x estimator x stratum x pair x class x feature, with support."""
     plain = observations(spark, sf_dir)
-    obs, pairs = scoped(plain), configuration_pairs(plain)
+    obs, pairs = scoped(plain), configuration_pairs(observations(spark, sf_dir, once=False))
     d = _distances(obs, pairs)
     totals = weights.group_totals(_numeric_masses(obs), group=GROUP).unionByName(
         weights.group_totals(_categorical_masses(obs), group=GROUP)
@@ -255,7 +255,7 @@ fa AS (SELECT pair_id, contrast, family, AVG(mean) AS mean, AVG(median) AS media
 
 def _first_k(spark: SparkSession, sf_dir: str):
     obs = observations(spark, sf_dir).withColumn("cohort_scope", F.lit("all"))
-    return obs, configuration_pairs(obs)
+    return obs, configuration_pairs(observations(spark, sf_dir, once=False))
 
 
 SEQUENTIAL = ("signed_ip_total_length_bytes", "direction", "iat_us", "ipv4_ttl", "tcp_window_raw", "tcp_payload_length_bytes")
@@ -350,7 +350,7 @@ FROM q LEFT JOIN isl USING (feature, contrast, threshold) GROUP BY ALL"""
 
 def directional_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed evaluations of each unordered pair: the first left to right, the second back."""
-    p = configuration_pairs(observations(spark, sf_dir))
+    p = configuration_pairs(observations(spark, sf_dir, once=False))
     n = F.when(F.col("contrast") == "temporal", 1).otherwise(2)
     one, two = F.concat(F.col("pair_id"), F.lit(":1")), F.concat(F.col("pair_id"), F.lit(":2"))
     listed = F.when(n == 1, one).otherwise(F.concat_ws(";", one, two))
