@@ -131,17 +131,17 @@ def _components(spark, sf_dir):
     ).select("cell.configuration_id", "cell.class_name", "component", "n")
 
 
-def exact_group_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 40 sessions of every cell, in whole leakage groups, by subset sums in digest order."""
+def exact_group_selection(spark: SparkSession, sf_dir: str, per_cell_limit: int = 40) -> DataFrame:
+    """At most ``per_cell_limit`` sessions of every cell, in whole leakage groups, by subset sums in digest order."""
     return selection.cell_splits(
-        _components(spark, sf_dir), cell=["configuration_id", "class_name"], group="component", size="n", target=40, namespace="selection-v1", share=0.0
+        _components(spark, sf_dir), cell=["configuration_id", "class_name"], group="component", size="n", target=per_cell_limit, namespace="selection-v1", share=0.0
     ).drop("split")
 
 
 def group_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact 70/15/15 roles of whole leakage groups in every cell."""
+    """Exact 70/15/15 roles of all sessions of every cell, in whole leakage groups."""
     return selection.cell_splits(
-        _components(spark, sf_dir), cell=["configuration_id", "class_name"], group="component", size="n", target=40, namespace="split-v1"
+        _components(spark, sf_dir), cell=["configuration_id", "class_name"], group="component", size="n", target=None, namespace="split-v1"
     )
 
 

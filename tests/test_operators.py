@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetlens.functions import text as T
 from packetlens.operators import bootstrap, checks, components, descriptives, distances, matrix, relational, rollups, selection, weights
+from packetlens.plans import packets
 from packetlens.sources import contracts, tables
 
 
@@ -119,6 +120,51 @@ def test_selection():
     assert roles == selection.exact_roles(dict.fromkeys([f"s{i}" for i in range(20)], 1), 3, 3, "ns")
 
 
+def reachable_quotas(counts, quota):
+    """The quotas that group by group trial of all roles ends at."""
+    states = {(0, 0)}
+    for s, n in counts.items():
+        for _ in range(n):
+            states |= {(v + s, t) for v, t in states if v + s <= quota} | {(v, t + s) for v, t in states if t + s <= quota}
+    v = t = quota
+    while (v, t) not in states:
+        v, t = (v - 1, t) if v >= t else (v, t - 1)
+    return v, t
+
+
+def test_role_counts():
+    rnd = random.Random(5)
+    for _ in range(300):
+        counts = {rnd.randrange(1, rnd.choice([4, 12, 40])): rnd.randrange(1, 9) for _ in range(rnd.randrange(1, 5))}
+        quota = sum(s * n for s, n in counts.items()) * 15 // 100
+        roles, exact = selection.role_counts(counts, quota)
+        v, t = (sum(s * roles[s][i] for s in counts) for i in (0, 1))
+        assert all(sum(roles[s]) <= n for s, n in counts.items())
+        assert (v, t) == reachable_quotas(counts, quota) and exact == (v == t == quota)
+    roles, exact = selection.role_counts({1: 2_000_000, 2: 300_000, 300: 4}, 390_180)
+    assert exact and all(sum(s * r[i] for s, r in roles.items()) == 390_180 for i in (0, 1))
+
+
+def test_whole_cells_keep_every_group(spark):
+    rnd = random.Random(7)
+    rows = [(c, "k", f"{c}{i}", 1 + rnd.randrange(3) * (i % 2)) for c in ("a", "b", None) for i in range(120)] + [("d", "k", "d0", 4)]
+    df = spark.createDataFrame(rows, "cfg string, cls string, grp string, n int")
+    out = selection.cell_splits(df, cell=["cfg", "cls"], group="grp", size="n", target=None, namespace="ns").collect()
+    assert sorted((r.grp, r.n) for r in out) == sorted((g, n) for _, _, g, n in rows)
+    for c in ("a", "b", None, "d"):
+        own = [r for r in out if r.cfg == c]
+        quota = sum(r.n for r in own) * 15 // 100
+        assert [sum(r.n for r in own if r.split == s) for s in ("validation", "test")] == [quota, quota] and all(r.exact for r in own)
+
+
+def test_group_splits_keep_cells_of_any_size(spark, tmp_path):
+    rows = [(i, f"s{i:04d}", "accepted", "Q1-A-B-C", "k", f"parent-group-{i:04d}", None) for i in range(100)]
+    names = "record_no int, session_id string, status string, configuration_id string, class_name string, parent_group_id string, pcap_sha256 string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/session_manifest.parquet")
+    out = packets.group_splits(spark, str(tmp_path)).groupBy("split").agg(F.sum("n").alias("n")).collect()
+    assert {r.split: r.n for r in out} == {"train": 70, "validation": 15, "test": 15}
+
+
 def test_text(spark):
     df = spark.createDataFrame([("Réseau https://x.y/z?q=1 Traffic+Flow!", "<HTTPS://doi.org/10.1/AB?>", " b | a||a ", '"2020"^^x')], "a string, d string, l string, y string")
     r = df.select(
