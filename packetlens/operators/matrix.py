@@ -67,13 +67,14 @@ def fill_template(template: str, values: Mapping[str, object]) -> str:
         raise ValueError(f"unknown placeholder {missing}") from None
 
 
-def product_coverage(rows: DataFrame, dimensions: Mapping[str, DataFrame]) -> DataFrame:
+def product_coverage(rows: DataFrame, dimensions: Mapping[str, DataFrame], within: str | None = None) -> DataFrame:
     """How far ``rows`` cover the product of small dimension tables: keys ``missing`` from it
-    and ``unexpected`` in it, and ``repeated`` ones."""
-    names = list(dimensions)
+    and ``unexpected`` in it, and ``repeated`` ones.  With ``within``, a column that every
+    dimension table has too, there is one product for each of its values."""
+    names = [*([within] if within else []), *dimensions]
     full = None
     for d in dimensions.values():
-        full = d if full is None else full.crossJoin(d)
+        full = d if full is None else full.join(d, within) if within else full.crossJoin(d)
     have = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     j = full.select(*names, F.lit(True).alias("due")).join(have, names, "full")
     state = F.when(F.col("n").isNull(), "missing").when(F.col("due").isNull(), "unexpected").when(F.col("n") > 1, "repeated")

@@ -191,13 +191,26 @@ def group_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_product_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of protocol's configurations x classes x days without observation, or unexpected."""
+    """Combinations of direction, flag pattern and TTL that no packet has."""
     obs = table(spark, sf_dir, "packet_observations")
     rows = obs.select("direction", "tcp_flag_pattern", "ipv4_ttl").distinct()
     dims = {c: obs.select(c).distinct().where(f"{c} is not null") for c in ("direction", "tcp_flag_pattern", "ipv4_ttl")}
     return matrix.product_coverage(rows, dims)
 
 
+def cohort_day_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of each protocol's configurations x classes x days without observation, with more
+    than one, or (part of the key is missing) outside the product."""
+    key = {
+        "configuration_id": F.upper(F.replace(F.trim("configuration_id"), F.lit("_"), F.lit("-"))),
+        "class_name": F.rtrim(F.lower(F.trim("class_name")), F.lit(".")),
+        "capture_day": F.col("capture_day"),
+    }
+    rows = table(spark, sf_dir, "packet_observations").select("protocol_id", *[c.alias(n) for n, c in key.items()])
+    dims = {c: rows.select("protocol_id", c).distinct().where(f"{c} is not null") for c in key}
+    return matrix.product_coverage(rows, dims, within="protocol_id")
+
+
 def triple_optional_group_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triple patterns with optional parts, sampled values and a distinct concatenation."""
     n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
@@ -241,7 +254,7 @@ QUERIES = {
         sessionize_events, session_summary, flow_sessions, time_inversions, rebase_time, first_k_packets, first_payload_trim,
         flag_mask_roundtrip, unordered_pair_key, position_contiguity, observation_rules, iat_rules, first_five_features,
         exact_group_selection, group_splits, matrix_jobs, preprocess_jobs, training_jobs, routing_default, group_commands,
-        cross_product_coverage, triple_optional_group_concat, cohort_reconciliation, selection_summary,
+        cross_product_coverage, cohort_day_coverage, triple_optional_group_concat, cohort_reconciliation, selection_summary,
     )
 }
 
@@ -300,6 +313,13 @@ ORACLE = {
     "cross_product_coverage": """WITH d AS (SELECT DISTINCT direction FROM packet_observations WHERE direction IS NOT NULL), f AS (SELECT DISTINCT tcp_flag_pattern FROM packet_observations WHERE tcp_flag_pattern IS NOT NULL),
  t AS (SELECT DISTINCT ipv4_ttl FROM packet_observations WHERE ipv4_ttl IS NOT NULL), h AS (SELECT DISTINCT direction, tcp_flag_pattern, ipv4_ttl FROM packet_observations)
  SELECT direction, tcp_flag_pattern, ipv4_ttl, 'missing' AS state FROM d CROSS JOIN f CROSS JOIN t ANTI JOIN h USING (direction, tcp_flag_pattern, ipv4_ttl)""",
+    "cohort_day_coverage": """WITH o AS (SELECT protocol_id, upper(replace(trim(configuration_id),'_','-')) AS configuration_id, rtrim(lower(trim(class_name)),'.') AS class_name, capture_day FROM packet_observations),
+ k AS (SELECT protocol_id, configuration_id, class_name, capture_day, COUNT(*) AS n FROM o GROUP BY ALL),
+ c AS (SELECT DISTINCT protocol_id, configuration_id FROM o WHERE configuration_id IS NOT NULL), l AS (SELECT DISTINCT protocol_id, class_name FROM o WHERE class_name IS NOT NULL), d AS (SELECT DISTINCT protocol_id, capture_day FROM o WHERE capture_day IS NOT NULL),
+ p AS (SELECT protocol_id, configuration_id, class_name, capture_day FROM c JOIN l USING (protocol_id) JOIN d USING (protocol_id))
+ SELECT *, 'missing' AS state FROM p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.protocol_id=p.protocol_id AND k.configuration_id=p.configuration_id AND k.class_name=p.class_name AND k.capture_day=p.capture_day)
+ UNION ALL SELECT protocol_id, configuration_id, class_name, capture_day, CASE WHEN protocol_id IS NULL OR configuration_id IS NULL OR class_name IS NULL OR capture_day IS NULL THEN 'unexpected' ELSE 'repeated' END FROM k
+ WHERE n>1 OR protocol_id IS NULL OR configuration_id IS NULL OR class_name IS NULL OR capture_day IS NULL""",
     "triple_optional_group_concat": """SELECT 'n'||n_nationkey AS s, n_name AS name, MIN(CASE WHEN r_name<>'ASIA' THEN r_name END) AS stream, coalesce(string_agg(DISTINCT s_name, ' ' ORDER BY s_name),'') AS authors
  FROM nation LEFT JOIN region ON n_regionkey=r_regionkey LEFT JOIN supplier ON s_nationkey=n_nationkey AND s_acctbal>0 GROUP BY ALL""",
     "cohort_reconciliation": f"""WITH {OBS_SQL} SELECT protocol_id, configuration_id, class_name, COUNT(*) AS sessions, CAST(SUM(n) AS BIGINT) AS packets, MIN(n) AS min_packets, MAX(n) AS max_packets

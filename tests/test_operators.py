@@ -201,6 +201,15 @@ def test_matrix(spark):
     assert sorted((r.a, r.b, r.state) for r in matrix.product_coverage(rows, dims).collect()) == [(1, "x", "repeated"), (2, "x", "missing"), (2, "z", "unexpected")]
 
 
+def test_cohort_day_coverage(spark, tmp_path):
+    rows = [("t", " a_1", "k.", 1), ("t", "A-1", "K", 1), ("t", "a-1", "m", 2), ("t", "b-1", "k", 2), ("t", "b-1", None, 2), ("u", "c-1", "k", 3)]
+    df = spark.createDataFrame(rows, "protocol_id string, configuration_id string, class_name string, d int")
+    df.select("*", F.date_add(F.lit("2026-01-01").cast("date"), F.col("d")).alias("capture_day")).write.parquet(f"{tmp_path}/packet_observations.parquet")
+    got = {(r.protocol_id, r.configuration_id, r.class_name, r.capture_day.day - 1, r.state) for r in packets.cohort_day_coverage(spark, str(tmp_path)).collect()}
+    missing = {("A-1", "k", 2), ("A-1", "m", 1), ("B-1", "k", 1), ("B-1", "m", 1), ("B-1", "m", 2)}
+    assert got == {("t", *m, "missing") for m in missing} | {("t", "A-1", "k", 1, "repeated"), ("t", "B-1", None, 2, "unexpected")}
+
+
 def test_contract_checks(spark):
     t = {"a": spark.createDataFrame([("1", "x", "b1 | b9"), ("1", "y", "")], "id string, e string, bs string"), "b": spark.createDataFrame([("b1",)], "id string")}
     contract = {"tables": {"a": {"primary_key": "id", "rows": 2, "enums": {"e": ["x"]}, "foreign_keys": [{"column": "bs", "table": "b", "key": "id", "list": True}]}}}
