@@ -11,24 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from packetlens.functions.text import UNKNOWN_WORDS, relation_key  # noqa: F401
 from packetlens.operators.components import star_forest
 from packetlens.runtime import materialize
 
-#: fixed values: words that stand for "no value" in a key that relates records
-UNKNOWN_WORDS = (
-    "", "-", "--", "?", "n/a", "na", "nan", "nil", "none", "null", "pending", "tbd", "undefined", "unknown", "missing",
-)
 #: So many edges between local forests are merged in one task; beyond, by star contraction.
 ONE_TASK_EDGES = 2_000_000
 
 
-def relation_key(column: Column) -> Column:
-    """A relating value without outer blanks and letter case; words (and all-zero digests)
-    that stand for "unknown" give NULL."""
-    text = F.lower(F.regexp_replace(column.cast("string"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    return F.when(~text.isin(*UNKNOWN_WORDS) & ~text.rlike("^0+$"), text)
-
-
 class Forest:
     """Union-find over hashable nodes; the smallest node of a tree is its root."""
 

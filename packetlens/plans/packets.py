@@ -122,7 +122,7 @@ SELECT {', '.join(_P5)}, {', '.join(f"MAX(CASE WHEN place={i} THEN x[{j}] END) A
 
 def _components(spark, sf_dir):
     m = table(spark, sf_dir, "session_manifest").where("status = 'accepted'")
-    rel = [F.when(F.length(F.trim(c)) > 10, F.lower(F.trim(c))) for c in ("parent_group_id", "pcap_sha256")]
+    rel = [T.relation_key(F.col(c)) for c in ("parent_group_id", "pcap_sha256")]
     comp = token_components(m, node="session_id", tokens=rel)
     first = m.groupBy("session_id").agg(F.min(F.struct("record_no", "configuration_id", "class_name")).alias("r"))
     j = comp.join(first, comp["node"] == first["session_id"])

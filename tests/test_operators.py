@@ -165,6 +165,15 @@ def test_group_splits_keep_cells_of_any_size(spark, tmp_path):
     assert {r.split: r.n for r in out} == {"train": 70, "validation": 15, "test": 15}
 
 
+def test_leakage_groups_of_the_manifest(spark, tmp_path):
+    zero, names = "0" * 64, "record_no int, session_id string, status string, configuration_id string, class_name string, parent_group_id string, pcap_sha256 string"
+    rows = [("s0", "P1", zero), ("s1", " p1 ", "pending"), ("s2", "UNKNOWN", zero), ("s3", "unknown", "ab12"), ("s4", "-", "AB12"), ("s5", None, "n/a")]
+    df = spark.createDataFrame([(i, s, "accepted", "Q1-A-B-C", "k", p, h) for i, (s, p, h) in enumerate(rows)], names)
+    df.write.parquet(f"{tmp_path}/session_manifest.parquet")
+    got = {(r.component, r.n) for r in packets.group_splits(spark, str(tmp_path)).collect()}
+    assert got == {("s0", 2), ("s2", 1), ("s3", 2), ("s5", 1)}
+
+
 def test_text(spark):
     df = spark.createDataFrame([("Réseau https://x.y/z?q=1 Traffic+Flow!", "<HTTPS://doi.org/10.1/AB?>", " b | a||a ", '"2020"^^x')], "a string, d string, l string, y string")
     r = df.select(
