@@ -25,8 +25,8 @@ TOKENIZER_DIR = os.environ.get("PACKETLENS_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 #: fixed value: the public pre-tokenisation pattern of the byte-level vocabularies
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: the same for texts without any other characters, for the faster matcher
-ASCII_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: the same for texts without any other characters, for the faster matcher (whose \s has U+001C to U+001F too)
+ASCII_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"
 #: Distinct pre-tokens remembered per Python worker before the memory is emptied.
 CACHE_SIZE = 400_000
 #: Pre-tokens longer than this are not remembered.

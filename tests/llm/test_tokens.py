@@ -29,6 +29,17 @@ def test_like_another_library(other):
         assert coder.encode(text) == ids
 
 
+def test_ascii_texts_are_cut_as_others():
+    regex = pytest.importorskip("regex")
+    coder = tokens.Encoder(PATH)
+    assert coder.encode("a\n\n\x1d{") == [64, 198, 198, 217, 90]
+    rnd = random.Random(6)
+    alphabet = "aZ0'{ \t\n\r\f\v\x00\x1b\x1c\x1d\x1e\x1f\x7f"
+    for _ in range(2000):
+        text = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 30)))
+        assert coder.cut_ascii(text) == regex.findall(tokens.PATTERN, text)
+
+
 def test_json_vocabulary_agrees():
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
