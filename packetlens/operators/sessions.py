@@ -1,23 +1,168 @@
-"""Sessions by inactivity: every event opens an interval as long as the gap, overlapping
-intervals of a key merge, and an *opening* event cuts the merged interval.
+"""Sessions by inactivity as merging interval state.
 
-The merge is made in two steps so that no key has to fit one task.  Events are exchanged by
-(key, time bucket); inside a bucket they merge to fragments.  Only fragments that touch a
-bucket's edge can still grow, at most three a bucket, and only those are brought together
-by key.  Everything else is final after the first step.
+Every event opens an interval as long as the gap.  Overlapping intervals of a key merge; an
+*opening* event cuts the merged interval.  The state of a key is a list of *fragments*: start
+and end with their events, the number of events, the opening a fragment began with, and
+whether its beginning is certain.  :func:`merge_fragments` merges any sorted list of them, so
+the same step serves events, the fragments of neighbouring partitions and the state of a
+stream (:mod:`packetlens.streaming.sessions`).
+
+A batch is laid out by ranges of (key, time), so a key with a third of all events is spread
+over as many tasks as its size needs, whatever its rate.  Inside a task only the running
+fragment is kept.  Only fragments at a range's edge, at most three a range, meet again by key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlens.functions.addresses import canonical_ip
 from packetlens.runtime import micros
 
 SYN, ACK = 2, 16
+#: the columns of a fragment behind its keys
+FRAGMENT = ("start_us", "first_event", "end_us", "last_event", "n", "opens", "token", "sure")
+
+
+def _changes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Where a value differs from the one before it, NULLs being equal; the first does."""
+    out = np.ones(len(column), bool)
+    if len(column) > 1:
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        differs = pc.fill_null(pc.not_equal(a, b), False)
+        one_null = pc.xor(pc.is_null(a), pc.is_null(b))
+        out[1:] = pc.or_(differs, one_null).to_numpy(zero_copy_only=False)
+    return out
+
+
+def merge_fragments(state: pa.Table, keys: Sequence[str], gap_us: int) -> pa.Table:
+    """Merge fragments, sorted by ``keys``, ``start_us`` and ``first_event``, to longer ones.
+
+    A fragment begins a session if its key is new, if it lies more than ``gap_us`` behind the
+    one before, if its beginning is certain already, or if it opens and the running session
+    did not begin with an opening of the same token.  The running session's token is that of
+    the last opening since the last silence, as any other opening would have cut.
+
+    The first fragment keeps its ``sure``; what follows is sure unless it hangs on a session
+    whose beginning is not known.
+    """
+    size = state.num_rows
+    if size == 0:
+        return state
+    at = np.arange(size)
+    start, end = state["start_us"].to_numpy(), state["end_us"].to_numpy()
+    fresh = at == 0
+    for k in keys:
+        fresh |= _changes(state[k])
+    silent = fresh.copy()
+    silent[1:] |= start[1:] - end[:-1] > gap_us
+    opens, sure = (state[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("opens", "sure"))
+    block = np.maximum.accumulate(np.where(silent, at, 0))
+    before = np.r_[-1, np.maximum.accumulate(np.where(opens, at, -1))[:-1]]
+    known = before >= block
+    token = state["token"].combine_chunks()
+    earlier = token.take(pa.array(np.maximum(before, 0)))
+    equal = pc.or_(
+        pc.fill_null(pc.equal(token, earlier), False), pc.and_(pc.is_null(token), pc.is_null(earlier))
+    ).to_numpy(zero_copy_only=False)
+    cut = silent | sure | (opens & ~(known & equal))
+    certain = sure | (opens & known & ~equal)
+    certain[1:] |= silent[1:]
+    certain |= opens & ~known & certain[block]
+    first = np.flatnonzero(cut)
+    last = np.r_[first[1:], size] - 1
+    begin, finish = state.take(pa.array(first)), state.take(pa.array(last))
+    columns = {
+        **{k: begin[k] for k in keys},
+        "start_us": begin["start_us"],
+        "first_event": begin["first_event"],
+        "end_us": finish["end_us"],
+        "last_event": finish["last_event"],
+        "n": pa.array(np.add.reduceat(state["n"].to_numpy(), first)),
+        "opens": begin["opens"],
+        "token": begin["token"],
+        "sure": pa.array(certain[first]),
+    }
+    return pa.table(columns)
+
+
+def as_fragments(events: pa.Table, keys: Sequence[str]) -> pa.Table:
+    """Events (``keys, us, id, opens, token``) as fragments of one event each."""
+    size = events.num_rows
+    return pa.table(
+        {
+            **{k: events[k] for k in keys},
+            "start_us": events["us"],
+            "first_event": events["id"],
+            "end_us": events["us"],
+            "last_event": events["id"],
+            "n": pa.array(np.ones(size, np.int64)),
+            "opens": events["opens"],
+            "token": events["token"],
+            "sure": pa.array(np.zeros(size, bool)),
+        }
+    )
+
+
+def without_repeats(state: pa.Table, keys: Sequence[str]) -> pa.Table:
+    """Sorted fragments without events that the fragment before ends with already."""
+    fresh = np.arange(state.num_rows) == 0
+    for k in keys:
+        fresh |= _changes(state[k])
+    for a, b in (("start_us", "end_us"), ("first_event", "last_event")):
+        now, before = state[a].slice(1), state[b].slice(0, max(0, state.num_rows - 1))
+        fresh[1:] |= pc.not_equal(now, before).to_numpy(zero_copy_only=False)
+    return state if fresh.all() else state.filter(pa.array(fresh))
+
+
+def _range_sessions(keys: Sequence[str], gap_us: int, schema: pa.Schema):
+    """One range: batches in order merge into the running fragment, all others go out.
+    Fragments that another range may still change are marked as ``edge``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running: pa.Table | None = None
+
+        def out(table: pa.Table, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from table.append_column("edge", pa.array(edge)).select(schema.names).cast(schema).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            state = as_fragments(pa.Table.from_batches([batch]), keys)
+            if running is not None:
+                state = pa.concat_tables([running, state])
+            state = merge_fragments(without_repeats(state, keys), keys, gap_us)
+            done, running = state.slice(0, state.num_rows - 1), state.slice(state.num_rows - 1)
+            if done.num_rows:
+                yield from out(done, ~done["sure"].to_numpy(zero_copy_only=False).astype(bool))
+        if running is not None:
+            yield from out(running, np.ones(1, bool))
+
+    return run
+
+
+def _edge_sessions(keys: Sequence[str], gap_us: int, schema: pa.Schema):
+    """Finished sessions pass; the edge fragments of a key merge once more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            yield from table.filter(pc.invert(table["edge"])).select(schema.names).to_batches()
+            edges.append(table.filter(table["edge"]))
+        if edges:
+            state = pa.concat_tables(edges)
+            order = [(c, "ascending") for c in (*keys, "start_us", "first_event")]
+            state = merge_fragments(state.sort_by(order), keys, gap_us)
+            yield from state.select(schema.names).cast(schema).to_batches()
+
+    return run
 
 
 def merge_intervals(
@@ -29,7 +174,7 @@ def merge_intervals(
     gap_us: int,
     opening: Column | None = None,
     token: Column | None = None,
-    bucket_us: int = 600_000_000,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Split each key's events into sessions.
 
@@ -39,84 +184,63 @@ def merge_intervals(
 
     Defined cases: an event without key, time or id belongs to no session; events with equal
     time and id are one event; a NULL ``opening`` is false; NULL tokens equal each other;
-    late events simply take their place in time; an empty input gives no sessions.
+    late events take their place in time (a stream takes them until its watermark has
+    passed); an empty input gives no sessions.  ``ranges`` is the number of ranges, by
+    default the session's shuffle partitions, which adaptive execution joins where small.
 
     Returns ``keys``, ``session_start_us``, ``session_end_us``, ``duration_us``,
     ``first_event``, ``last_event``, ``event_count``.
     """
-    opening = F.lit(False) if opening is None else F.coalesce(opening, F.lit(False))
-    token = F.lit(None).cast("long") if token is None else token
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     k = [f"__k{i}" for i in range(len(keys))]
     rows = df.select(
         *[F.col(f"`{c}`").alias(n) for n, c in zip(k, keys)],
-        micros(df, ts).alias("__us"),
-        F.col(f"`{event_id}`").alias("__id"),
-        F.when(opening, F.struct(token.alias("t"))).alias("__open"),
-    ).where(" and ".join(f"{c} is not null" for c in [*k, "__us", "__id"]))
-    rows = rows.withColumn("__b", F.expr(f"__us div {bucket_us}") - (F.col("__us") < 0).cast("long"))
-
-    part = [*k, "__b"]
-    w = Window.partitionBy(*part).orderBy("__us", "__id")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    same = (F.lag("__us").over(w) == F.col("__us")) & (F.lag("__id").over(w) == F.col("__id"))
-    rows = rows.withColumn("__dup", F.coalesce(same, F.lit(False))).where("not __dup").drop("__dup")
-    rows = rows.withColumn("__prev", F.lag("__us").over(w))
-    rows = rows.withColumn("__gap", F.col("__prev").isNull() | (F.col("__us") - F.col("__prev") > gap_us))
-    rows = rows.withColumn("__block", F.sum(F.col("__gap").cast("int")).over(upto))
-    rows = rows.withColumn(
-        "__lastopen",
-        F.last(F.when(F.col("__open").isNotNull(), F.struct("__block", "__open.t")), ignorenulls=True).over(before),
-    )
-    known = F.coalesce(F.col("__lastopen.__block") == F.col("__block"), F.lit(False))
-    opened = F.col("__open").isNotNull()
-    changed = opened & known & ~F.col("__open.t").eqNullSafe(F.col("__lastopen.t"))
-    unsure = F.col("__prev").isNull() | (opened & ~known & ~F.col("__gap") & (F.col("__block") == 1))
-    rows = rows.withColumn("__start", F.col("__gap") | changed | (opened & ~known))
-    rows = rows.withColumn("__unsure", unsure & F.col("__start"))
-    rows = rows.withColumn("__ord", F.sum(F.col("__start").cast("int")).over(upto))
-
-    at = F.struct("__us", "__id")
-    fragments = rows.groupBy(*part, "__ord").agg(
-        F.min(at).alias("__first"),
-        F.max(at).alias("__last"),
-        F.count(F.lit(1)).alias("__n"),
-        F.max("__unsure").alias("__unsure"),
-        F.max(F.when(F.col("__start"), F.col("__open"))).alias("__open"),
-    )
-    nth = Window.partitionBy(*part).orderBy("__ord")
-    fragments = fragments.withColumn("__edge", F.col("__unsure") | F.lead("__ord").over(nth).isNull())
-    # Finished fragments stay in their bucket, edge fragments of a key meet in one place.
-    fragments = fragments.withColumn("__m", F.when(~F.col("__edge"), F.col("__b")))
-
-    wm = Window.partitionBy(*k, "__m").orderBy("__first")
-    prior = wm.rowsBetween(Window.unboundedPreceding, -1)
-    silent = F.coalesce(F.col("__first.__us") - F.lag("__last.__us").over(wm) > gap_us, F.lit(True))
-    # A fragment that is not its bucket's first one begins where silence was already measured.
-    fragments = fragments.withColumn("__silent", silent & (F.col("__ord") == 1))
-    fresh = ~F.col("__unsure") | F.col("__silent")
-    event = F.when(F.col("__open").isNotNull(), F.struct(F.col("__open").alias("o"))).when(
-        fresh, F.struct(F.lit(None).cast(fragments.schema["__open"].dataType).alias("o"))
-    )
-    fragments = fragments.withColumn("__event", event)
-    fragments = fragments.withColumn("__running", F.last("__event", ignorenulls=True).over(prior))
-    running = F.col("__running.o")
-    reopened = F.col("__open").isNotNull() & (running.isNull() | ~running.eqNullSafe(F.col("__open")))
-    fragments = fragments.withColumn("__begin", (fresh | reopened).cast("long"))
-    fragments = fragments.withColumn(
-        "__s", F.sum("__begin").over(wm.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    sessions = fragments.groupBy(*k, "__m", "__s").agg(
-        F.min("__first").alias("__first"), F.max("__last").alias("__last"), F.sum("__n").alias("__n")
+        micros(df, ts).alias("us"),
+        F.col(f"`{event_id}`").alias("id"),
+        (F.lit(False) if opening is None else F.coalesce(opening, F.lit(False))).alias("opens"),
+        (F.lit(None).cast("long") if token is None else token).alias("token"),
+    ).where(" and ".join(f"{c} is not null" for c in [*k, "us", "id"]))
+    order = [F.xxhash64(*k), *k, "us", "id"]
+    laid = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    kinds = dict(rows.dtypes)
+    columns = {
+        **{n: kinds[n] for n in k},
+        "start_us": "long", "first_event": kinds["id"], "end_us": "long", "last_event": kinds["id"], "n": "long",
+        "opens": "boolean", "token": kinds["token"], "sure": "boolean", "edge": "boolean",
+    }
+    ddl = ", ".join(f"`{c}` {t}" for c, t in columns.items())
+    arrow = to_arrow_schema(StructType.fromDDL(ddl))
+    fragments = laid.mapInArrow(_range_sessions(k, gap_us, arrow), ddl)
+    meeting = F.when(F.col("edge"), F.xxhash64(*k)).otherwise(F.xxhash64("first_event"))
+    final = [*k, "start_us", "first_event", "end_us", "last_event", "n"]
+    out = pa.schema([arrow.field(c) for c in final])
+    sessions = fragments.repartition(meeting).mapInArrow(
+        _edge_sessions(k, gap_us, out), ", ".join(f"`{c}` {columns[c]}" for c in final)
     )
     return sessions.select(
         *[F.col(n).alias(c) for n, c in zip(k, keys)],
-        F.col("__first.__us").alias("session_start_us"),
-        F.col("__last.__us").alias("session_end_us"),
-        (F.col("__last.__us") - F.col("__first.__us")).alias("duration_us"),
-        F.col("__first.__id").alias("first_event"),
-        F.col("__last.__id").alias("last_event"),
-        F.col("__n").alias("event_count"),
+        F.col("start_us").alias("session_start_us"),
+        F.col("end_us").alias("session_end_us"),
+        (F.col("end_us") - F.col("start_us")).alias("duration_us"),
+        "first_event",
+        "last_event",
+        F.col("n").alias("event_count"),
+    )
+
+
+def packet_events(packets: DataFrame, *, ip: str, port: str, ts: str, packet_id: str, flags: str, sequence: str) -> DataFrame:
+    """Packets as events of their source: ``source_ip`` in one spelling, ``opens`` for SYN
+    without ACK, ``sequence`` as token."""
+    bits = F.col(f"`{flags}`")
+    return packets.select(
+        canonical_ip(F.col(f"`{ip}`")).alias("source_ip"),
+        F.col(f"`{port}`").alias("source_port"),
+        F.col(f"`{ts}`").alias("captured_at"),
+        F.col(f"`{packet_id}`").alias("packet_id"),
+        ((bits.bitwiseAND(SYN) != 0) & (bits.bitwiseAND(ACK) == 0)).alias("opens"),
+        F.col(f"`{sequence}`").cast("long").alias("sequence"),
     )
 
 
@@ -130,26 +254,18 @@ def packet_sessions(
     flags: str = "flags",
     sequence: str = "sequence",
     gap_seconds: int = 60,
-    bucket_seconds: int = 600,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Sessions of each (address, port), cut by silence and by fresh connection openings
     (SYN set, ACK not set).  Addresses are compared in one spelling; see :func:`canonical_ip`."""
-    bits = F.col(f"`{flags}`")
-    slim = packets.select(
-        canonical_ip(F.col(f"`{ip}`")).alias("source_ip"),
-        F.col(f"`{port}`").alias("source_port"),
-        F.col(f"`{ts}`").alias("captured_at"),
-        F.col(f"`{packet_id}`").alias("packet_id"),
-        ((bits.bitwiseAND(SYN) != 0) & (bits.bitwiseAND(ACK) == 0)).alias("opens"),
-        F.col(f"`{sequence}`").alias("sequence"),
-    )
+    events = packet_events(packets, ip=ip, port=port, ts=ts, packet_id=packet_id, flags=flags, sequence=sequence)
     return merge_intervals(
-        slim,
+        events,
         keys=["source_ip", "source_port"],
         ts="captured_at",
         event_id="packet_id",
         gap_us=gap_seconds * 1_000_000,
         opening=F.col("opens"),
         token=F.col("sequence"),
-        bucket_us=bucket_seconds * 1_000_000,
+        ranges=ranges,
     )
