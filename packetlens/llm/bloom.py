@@ -1,112 +1,109 @@
-"""Partition-merged Bloom filters over 64-bit hashes, cut into segments by hash."""
+"""Partition-merged Bloom filters over 64-bit hashes, each segment kept in one task.
+
+The hash space is cut into segments in proportion to the number of keys, so every filter has
+the same fill however many keys there are, and no filter is ever whole anywhere: not on the
+driver, not in a broadcast.  What a partition knows of a segment is sparse, so it travels as
+its distinct hashes (8 bytes a key) and becomes bits where the partitions of a segment merge.
+"""
 
 from __future__ import annotations
 
-import math
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Never more bits than this (128 MB a filter).  A fuller filter only lets more keys through
-#: to the exact step that follows; it never loses one.
-MAX_BITS = 1 << 30
-SEGMENT_BITS = 1 << 23
+#: Keys of one segment, about; with BITS_PER_KEY that is a filter of 1.5 MB.
+SEGMENT_KEYS = 1 << 20
+BITS_PER_KEY = 12
 PROBES = 4
-
-
-def size_for(n: int, bits_per_key: int = 12, max_bits: int = MAX_BITS) -> int:
-    """Power of two of at least ``bits_per_key`` bits a key, within the bound."""
-    return min(max_bits, 1 << max(10, math.ceil(math.log2(max(1, n) * bits_per_key))))
+#: Hashes a task holds before it hands them on.
+HELD = 1 << 20
 
 
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Bit positions (PROBES x n) of 64-bit hashes; all probes of a key lie in one segment."""
+    """Bit positions (PROBES x n) of 64-bit hashes in a filter of ``bits`` bits."""
     h = hashes.view(np.uint64)
-    inside = np.uint64(min(bits, SEGMENT_BITS))
-    base = (h >> np.uint64(40)) % np.uint64(max(1, bits // SEGMENT_BITS)) * inside
     a = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
     b = (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
     i = np.arange(PROBES, dtype=np.uint64)[:, None]
-    return (base + ((a + i * b) & (inside - np.uint64(1)))).astype(np.int64)
+    return ((a + i * b) % np.uint64(bits)).astype(np.int64)
 
 
-def _get(array: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return (array[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1
+class Filter:
+    """A packed bit array."""
 
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
+        self.array = np.zeros(bits // 8 + 1, np.uint8)
 
-def _set(array: np.ndarray, p: np.ndarray) -> None:
-    np.bitwise_or.at(array, p >> 3, (np.uint8(128) >> (p & 7).astype(np.uint8)))
+    def add(self, hashes: np.ndarray) -> None:
+        p = positions(hashes, self.bits)
+        np.bitwise_or.at(self.array, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
 
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        p = positions(hashes, self.bits)
+        return ((self.array[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=0)
 
-def build(hashes: DataFrame, column: str, bits: int, fan_in: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Packed bit arrays (seen at least once, possibly seen repeatedly) of all hashes.
 
-    Every partition marks its own two arrays; the arrays of each segment merge in groups of
-    ``fan_in`` until one pair is left: a position seen in both of two parts has been seen
-    repeatedly.  A key that occurs twice has all its positions in the second array, however
-    the partitions lie.  NULL hashes are left out.  The driver receives at most
-    ``2 * MAX_BITS`` bits.
+def merge_parts(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Hashes of one segment that may have been seen repeatedly.
+
+    ``parts`` are, of each partition, its distinct hashes and those among them that it has
+    seen more than once.  A hash already in the filter of once-seen keys, or repeated inside
+    a partition, goes into the filter of repeatedly-seen keys; no repeat is missed.
+    """
+    size = max(64, BITS_PER_KEY * sum(len(o) for o, _ in parts))
+    once, repeated = Filter(size), Filter(size)
+    for seen, more in parts:
+        repeated.add(seen[once.has(seen)])
+        repeated.add(more)
+        once.add(seen)
+    return np.unique(np.concatenate([seen[repeated.has(seen)] for seen, _ in parts]))
+
+
+def repeated_hashes(df: DataFrame, column: str, *, rows: int, segment_keys: int = SEGMENT_KEYS) -> DataFrame:
+    """One column ``h``: the values of ``column`` (64-bit hashes) that may occur repeatedly.
+
+    Every repeated value is among them; a value that occurs once is, with a probability of
+    about one in a hundred.  ``rows`` is the number of rows and sets the number of segments.
+    A hash that a third of all rows carry is one hash per task.  NULLs are left out; an empty
+    table gives no rows.
     """
-    seg = min(bits, SEGMENT_BITS)
-    step = seg // 8
-
-    def local(batches):
-        once, more = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for pdf in batches:
-            p = np.sort(positions(pdf.iloc[:, 0].to_numpy(np.int64), bits), axis=0)
-            fresh = np.ones(p.shape, bool)  # a key must not repeat itself
-            fresh[1:] = p[1:] != p[:-1]
-            hit, n = np.unique(p[fresh], return_counts=True)
-            _set(more, hit[(n > 1) | (_get(once, hit) == 1)])
-            _set(once, hit)
-        for s in range(bits // seg):
-            o, m = once[s * step : (s + 1) * step], more[s * step : (s + 1) * step]
-            if o.any():
-                yield pd.DataFrame(
-                    {"seg": [s], "once": [zlib.compress(o.tobytes(), 1)], "more": [zlib.compress(m.tobytes(), 1)]}
-                )
+    segments = max(1, -(-rows // segment_keys))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            seen, times = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            segment = ((seen.view(np.uint64) >> np.uint64(24)) % np.uint64(segments)).astype(np.int64)
+            order = np.argsort(segment, kind="stable")
+            seen, times, segment = seen[order], times[order], segment[order]
+            found, begin = np.unique(segment, return_index=True)
+            ends = np.r_[begin[1:], len(seen)]
+            once = [seen[a:b].tobytes() for a, b in zip(begin, ends)]
+            more = [seen[a:b][times[a:b] > 1].tobytes() for a, b in zip(begin, ends)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["segment", "once", "more"]
+            )
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch.column(0).to_numpy(zero_copy_only=False))
+            if sum(map(len, held)) >= HELD:
+                yield from hand_on()
+        if held:
+            yield from hand_on()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        once, more = np.zeros(step, np.uint8), np.zeros(step, np.uint8)
-        for a, b in zip(pdf["once"], pdf["more"]):
-            o = np.frombuffer(zlib.decompress(a), np.uint8)
-            more |= np.frombuffer(zlib.decompress(b), np.uint8) | (once & o)
-            once |= o
-        return pd.DataFrame(
-            {
-                "seg": pdf["seg"].iloc[:1],
-                "slot": pdf["slot"].iloc[:1],
-                "once": [zlib.compress(once.tobytes(), 1)],
-                "more": [zlib.compress(more.tobytes(), 1)],
-            }
-        )
-
-    keys = hashes.select(F.col(column).cast("long").alias(column)).where(F.col(column).isNotNull())
-    parts = keys.mapInPandas(local, "seg int, once binary, more binary")
-    slots = max(1, hashes.sparkSession.sparkContext.defaultParallelism // 2)
-    parts = parts.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(slots)))
-    while True:
-        parts = parts.groupBy("seg", "slot").applyInPandas(merge, "seg int, slot int, once binary, more binary")
-        if slots == 1:
-            break
-        slots = max(1, slots // fan_in)
-        parts = parts.withColumn("slot", F.pmod("slot", F.lit(slots)))
-    once, more = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-    for row in parts.toLocalIterator():
-        at = slice(row["seg"] * step, (row["seg"] + 1) * step)
-        once[at] = np.frombuffer(zlib.decompress(bytes(row["once"])), np.uint8)
-        more[at] = np.frombuffer(zlib.decompress(bytes(row["more"])), np.uint8)
-    return once, more
-
-
-def share(spark: SparkSession, array: np.ndarray):
-    """Broadcast one packed bit array (at most MAX_BITS / 8 bytes)."""
-    return spark.sparkContext.broadcast(array.tobytes())
-
-
-def contains(packed: bytes, hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Which 64-bit hashes may be in a packed bit array."""
-    return _get(np.frombuffer(packed, np.uint8), positions(hashes, bits)).all(axis=0)
+        parts = [(np.frombuffer(o, np.int64), np.frombuffer(m, np.int64)) for o, m in zip(pdf["once"], pdf["more"])]
+        return pd.DataFrame({"h": merge_parts(parts)})
+
+    keys = df.select(F.col(f"`{column}`").cast("long").alias("h")).where("h is not null")
+    parts = keys.mapInArrow(local, "segment long, once binary, more binary")
+    return parts.groupBy("segment").applyInPandas(merge, "h long")

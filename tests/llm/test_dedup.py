@@ -28,29 +28,24 @@ def test_copies(spark):
             groups[canon(r[1:5])].append(r[0])
     want = {(i, min(g), len(g)) for g in groups.values() for i in g}
     fields = ["title", "doi", "venue", "year"]
-    for bits in (bloom.MAX_BITS, 1 << 10):  # also with a filter that is far too full
-        out = dedup.formatted_copies(df, record_id="id", fields=fields, max_bits=bits)
+    for few in ({}, {"segment_keys": 20, "broadcast_hashes": 10}):  # also in many segments, and by the shuffle join
+        out = dedup.formatted_copies(df, record_id="id", fields=fields, **few)
         assert {(r.record_id, r.first_record_id, r.copies) for r in out.collect()} == want
     assert dedup.formatted_copies(df.limit(0), record_id="id", fields=fields).count() == 0
 
 
-def test_filter_marks_all_repeats_whatever_the_partitions(spark, monkeypatch):
+def test_filters_name_all_repeats_whatever_the_partitions(spark):
     rng = np.random.default_rng(1)
     keys = rng.integers(-(2**63), 2**63 - 1, 3000)
-    repeated = keys[:200]
-    df = spark.createDataFrame([(int(k),) for k in [*keys, *repeated]] + [(None,)], "h long")
-    bits = bloom.size_for(3200)
-    for parts in (1, 13):
-        once, more = bloom.build(df.repartition(parts), "h", bits)
-        assert bloom.contains(once.tobytes(), keys, bits).all() and bloom.contains(more.tobytes(), repeated, bits).all()
-        assert bloom.contains(more.tobytes(), keys[200:], bits).mean() < 0.1
-        absent = rng.integers(-(2**63), 2**63 - 1, 3000)
-        assert bloom.contains(once.tobytes(), absent, bits).mean() < 0.1
-
-
-def test_segments(spark):
-    bits = bloom.SEGMENT_BITS * 2
-    keys = np.arange(1, 2000, dtype=np.int64) * 0x1234567890AB
-    df = spark.createDataFrame([(int(k),) for k in keys], "h long")
-    once, more = bloom.build(df.repartition(5), "h", bits)
-    assert bloom.contains(once.tobytes(), keys, bits).all() and not bloom.contains(more.tobytes(), keys, bits).any()
+    repeated = {int(k) for k in keys[:200]}
+    df = spark.createDataFrame([(int(k),) for k in [*keys, *keys[:200]]] + [(None,)], "h long")
+    for parts, segment in ((1, 1 << 20), (13, 1 << 20), (5, 100)):
+        found = [r.h for r in bloom.repeated_hashes(df.repartition(parts), "h", rows=3201, segment_keys=segment).collect()]
+        assert len(found) == len(set(found)) and repeated <= set(found) and len(found) < 400
+    assert bloom.repeated_hashes(df.limit(0), "h", rows=0).count() == 0
+
+
+def test_repeats_across_parts_of_one_segment():
+    a, b = np.arange(1, 1000, dtype=np.int64) * 0x1234567890AB, np.arange(500, 1500, dtype=np.int64) * 0x1234567890AB
+    found = set(bloom.merge_parts([(a, a[:1]), (b, b[:0])]))
+    assert set(a[499:]) | {a[0]} <= found and len(found) < 600

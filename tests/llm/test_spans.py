@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from packetlens.llm import bloom, spans
+from packetlens.llm import spans
 
 
 def brute(docs, length):
@@ -46,8 +46,8 @@ def test_against_all_windows(spark, monkeypatch, seed, part):
     monkeypatch.setattr(spans, "PART", part)
     docs = corpus(seed)
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, h int").repartition(5)
-    for bits in (bloom.MAX_BITS, 1 << 10):
-        got = {(r.doc_id, r.span_start, r.span_end) for r in spans.shared_spans(df, doc_id="doc_id", text="text", length=90, max_bits=bits).collect()}
+    for few in ({}, {"segment_keys": 50, "broadcast_hashes": 10}):
+        got = {(r.doc_id, r.span_start, r.span_end) for r in spans.shared_spans(df, doc_id="doc_id", text="text", length=90, **few).collect()}
         assert got == brute(docs, 90)
     assert spans.shared_spans(df.limit(0), doc_id="doc_id", text="text").count() == 0
 
@@ -65,16 +65,25 @@ def test_share(spark):
     assert got == {1: (300, 0.75), 2: (300, 300 / 301), 3: (0, None), 4: (0, None)}
 
 
-def test_long_text_in_parts():
+def test_long_text_in_parts(monkeypatch):
+    monkeypatch.setattr(spans, "PART", 1000)
     text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(5000))
-    seen = []
-    for block, who, sizes, offsets in spans._parts([7, 8], [text, text[:150]], 200):
-        _, _, starts, part, _, _ = spans.windows_of(block, sizes, 200)
-        begin = np.cumsum(sizes) - np.asarray(sizes)
-        seen += list(starts - begin[part] + np.asarray(offsets)[part])
+    seen = set()
+    for b in spans.blocks([text, text[:150]], 200):
+        starts, part = b.windows()
+        seen |= set(b.place(starts, part))
     assert sorted(seen) == list(range(5000 - 200 + 1))
 
 
+def test_runs_lie_inside_their_windows():
+    text = "".join(random.Random(2).choice("abcdefgh ") for _ in range(3000)) + "=" * 400
+    for b in spans.blocks([text], 200):
+        starts, _ = b.windows()
+        cut = b.cut[starts]
+        assert (cut >= starts).all() and (b.settled(cut) <= starts + 200).all()
+        assert set(cut) <= set(b.runs()[0])
+
+
 def test_short_length_is_refused(spark):
     with pytest.raises(ValueError):
         spans.shared_spans(spark.createDataFrame([(1, "x")], "doc_id long, text string"), doc_id="doc_id", text="text", length=10)
