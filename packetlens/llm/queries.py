@@ -89,30 +89,29 @@ def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("sessions"), *share)
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.cross_split_overlaps(
-        table(spark, sf_dir, "session_manifest"),
-        record_id="record_no",
-        split="split",
-        exact={"session_id": F.col("session_id"), "page_id": overlap.compact_key(F.col("page_id"))},
-        near={"url": overlap.url_key(F.col("url"))},
-    )
+def _overlap_rules() -> dict:
+    return {
+        "record_id": "record_no",
+        "split": "split",
+        "exact": {"session_id": F.col("session_id"), "page_id": overlap.compact_key(F.col("page_id"))},
+        "near": {"url": overlap.url_key(F.col("url"))},
+    }
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records, one in train and one in validation or test, that are the same."""
-    return _overlaps(spark, sf_dir).select(
+    found = overlap.cross_split_overlaps(table(spark, sf_dir, "session_manifest"), **_overlap_rules())
+    return found.select(
         F.least("eval_id", "train_id").alias("record_no_a"), F.greatest("eval_id", "train_id").alias("record_no_b")
     ).distinct()
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation records that are also in train, per split and class."""
-    hit = _overlaps(spark, sf_dir).select(F.col("eval_id").alias("record_no")).distinct()
-    records = table(spark, sf_dir, "session_manifest").select(
-        "record_no", F.lower(F.trim("split")).alias("split"), "class_name"
-    ).distinct()
-    return records.join(hit, "record_no").groupBy("split", "class_name").agg(
+    manifest = table(spark, sf_dir, "session_manifest")
+    hit = overlap.overlapping_records(manifest, **_overlap_rules()).withColumnRenamed("record", "record_no")
+    records = manifest.select("record_no", overlap.split_name(F.col("split")).alias("split"), "class_name").distinct()
+    return records.join(hit, "record_no", "left_semi").groupBy("split", "class_name").agg(
         F.countDistinct("record_no").alias("overlapping_records")
     )
 
