@@ -15,8 +15,12 @@ from packetlens.functions.text import UNKNOWN_WORDS, relation_key  # noqa: F401
 from packetlens.operators.components import star_forest
 from packetlens.runtime import materialize
 
-#: So many edges between local forests are merged in one task; beyond, by star contraction.
-ONE_TASK_EDGES = 2_000_000
+#: Nodes of one forest in a Python worker; a fuller one is handed on and the next begun.
+FOREST_NODES = 500_000
+#: Forests that merge into one, level by level.
+FAN_IN = 16
+#: Links that one task of a merge takes, about.
+LINKS_PER_TASK = 1_000_000
 
 
 class Forest:
@@ -42,70 +46,117 @@ class Forest:
             self.up[a] = b
 
 
-def _local_forests(batches):
-    """Forest of one input partition: each session and token with its local root.
+def _local_forests(nodes: int):
+    """Forests of one input partition: each session and token with its local root.
 
     Sessions sort before tokens, so a root is always the tree's smallest session."""
-    forest = Forest()
-    for pdf in batches:
-        for node, tokens in zip(pdf["node"], pdf["tokens"]):
-            me = (0, node)
-            forest.find(me)
-            for token in tokens:
-                forest.union(me, (1, token))
-    items = list(forest.up)
-    for at in range(0, len(items), 50_000):
-        part = items[at : at + 50_000]
-        yield pd.DataFrame(
-            {"kind": [k for k, _ in part], "name": [n for _, n in part], "root": [forest.find(x)[1] for x in part]}
-        )
-
-
-def _merge_forests(batches):
-    """Forest over edges between roots of local forests."""
-    forest = Forest()
-    for pdf in batches:
-        for a, b in zip(pdf["a"], pdf["b"]):
-            forest.union(a, b)
-    items = [x for x in list(forest.up) if forest.find(x) != x]
-    for at in range(0, len(items), 50_000):
-        part = items[at : at + 50_000]
-        yield pd.DataFrame({"a": part, "b": [forest.find(x) for x in part]})
+
+    def out(forest: Forest):
+        items = list(forest.up)
+        for at in range(0, len(items), 50_000):
+            part = items[at : at + 50_000]
+            yield pd.DataFrame(
+                {"kind": [k for k, _ in part], "name": [n for _, n in part], "root": [forest.find(x)[1] for x in part]}
+            )
+
+    def run(batches):
+        forest = Forest()
+        for pdf in batches:
+            for node, tokens in zip(pdf["node"], pdf["tokens"]):
+                me = (0, node)
+                forest.find(me)
+                for token in tokens:
+                    forest.union(me, (1, token))
+            if len(forest.up) > nodes:
+                yield from out(forest)
+                forest = Forest()
+        yield from out(forest)
+
+    return run
+
+
+def _merge_forests(nodes: int):
+    """Forests over links between the roots of smaller ones."""
+
+    def out(forest: Forest):
+        items = [x for x in list(forest.up) if forest.find(x) != x]
+        for at in range(0, len(items), 50_000):
+            part = items[at : at + 50_000]
+            yield pd.DataFrame({"a": part, "b": [forest.find(x) for x in part]})
+
+    def run(batches):
+        forest = Forest()
+        for pdf in batches:
+            for a, b in zip(pdf["a"], pdf["b"]):
+                forest.union(a, b)
+            if len(forest.up) > nodes:
+                yield from out(forest)
+                forest = Forest()
+        yield from out(forest)
+
+    return run
+
+
+def _renamed(rows: DataFrame, column: str, forest: DataFrame) -> DataFrame:
+    """``rows`` with the roots in ``column`` replaced by the roots that took them in."""
+    f = forest.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+    joined = rows.join(f, rows[column] == F.col("__a"), "left")
+    return joined.withColumn(column, F.coalesce("__b", column)).drop("__a", "__b")
 
 
 def related_groups(
-    df: DataFrame, *, node: str, relations: Sequence[Column], one_task_edges: int = ONE_TASK_EDGES
+    df: DataFrame,
+    *,
+    node: str,
+    relations: Sequence[Column],
+    fan_in: int = FAN_IN,
+    forest_nodes: int = FOREST_NODES,
+    links_per_task: int = LINKS_PER_TASK,
 ) -> DataFrame:
     """``node, group_node``: the smallest node of those related directly or through others.
 
-    Level 0: every input partition builds its own forest, which is as good as done for all
-    values seen in one partition only.  Values (and nodes) seen in several partitions link
-    the roots of those forests; the links are merged level by level: in one task while they
-    are few, by distributed star contraction otherwise.  A value shared by a third of all
-    rows costs one link per partition.
+    Level 0: every input partition builds its own forests, of ``forest_nodes`` nodes at most.
+    A value (or node) that only one of them holds is done.  The others link roots: at level
+    k the forests of ``fan_in`` ** k neighbouring partitions merge into one, until one is left.  Links
+    of a level go to as many tasks as ``links_per_task`` asks for, each of which merges its
+    own; what still points at several roots is settled by star contraction (no round, where
+    one task held all links of its forests).  The same steps run at every size.  A value
+    shared by a third of all rows costs one link per forest.
 
     NULL relations relate nothing; rows without ``node`` are left out; repeated rows do not
-    matter; an empty table gives no rows.
+    matter; an empty table gives no rows.  Writes its intermediate tables when it is called.
     """
     tokens = F.array_compact(
         F.array(*[F.when(r.isNotNull(), F.concat(F.lit(f"{i}:"), r)) for i, r in enumerate(relations)])
     )
     rows = df.select(F.col(f"`{node}`").cast("string").alias("node"), tokens.alias("tokens")).where("node is not null")
-    local = materialize(rows.mapInPandas(_local_forests, "kind int, name string, root string"), "forests")
-    heads = local.groupBy("kind", "name").agg(F.min("root").alias("b"), F.max("root").alias("z")).where("b < z")
-    links = materialize(
-        local.join(heads, ["kind", "name"]).where("root <> b").select(F.col("root").alias("a"), "b").distinct(), "links"
-    )
-    if links.count() <= one_task_edges:
-        forest = links.coalesce(1).mapInPandas(_merge_forests, "a string, b string")
-    else:
-        narrowed = links.repartition("b").mapInPandas(_merge_forests, "a string, b string")
-        forest = star_forest(narrowed)
-    members = local.where("kind = 0").select(F.col("name").alias("node"), "root")
-    named = members.join(forest, members["root"] == forest["a"], "left").select(
-        "node", F.coalesce("b", "root").alias("group_node")
-    )
-    return named.groupBy("node").agg(F.min("group_node").alias("group_node"))
+    local = rows.mapInPandas(_local_forests(forest_nodes), "kind int, name string, root string")
+    local = materialize(local.withColumn("part", F.spark_partition_id()), "forests")
+    several = local.groupBy("kind", "name").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    spots = materialize(local.join(several.select("kind", "name"), ["kind", "name"], "left_semi"), "spots")
+    parts = (local.agg(F.max("part")).first()[0] or 0) + 1
+    roots = None
+    while True:
+        parts = -(-parts // fan_in)
+        spots = spots.withColumn("part", F.expr(f"part div {fan_in}"))
+        head = spots.groupBy("kind", "name", "part").agg(F.min("root").alias("b"), F.max("root").alias("z")).where("b < z")
+        links = spots.join(head.drop("z"), ["kind", "name", "part"]).where("root <> b")
+        links = materialize(links.select("part", F.col("root").alias("a"), "b").distinct(), "links")
+        tasks = -(-links.count() // links_per_task)
+        if tasks:
+            chunk = F.pmod(F.xxhash64("b"), F.lit(tasks))
+            merged = links.repartition(parts * tasks, "part", chunk).mapInPandas(_merge_forests(forest_nodes), "a string, b string")
+            forest = star_forest(merged)
+            spots = _renamed(spots, "root", forest)
+            roots = forest if roots is None else _renamed(roots, "b", forest).unionByName(forest)
+            roots = materialize(roots, "roots")
+        if parts == 1:
+            break
+        spots = materialize(spots.distinct(), "spots")
+    members = local.where("kind = 0").select(F.col("name").alias("node"), F.col("root").alias("group_node"))
+    if roots is not None:
+        members = _renamed(members, "group_node", roots)
+    return members.groupBy("node").agg(F.min("group_node").alias("group_node"))
 
 
 def water_fill(deficit: np.ndarray, size: int, n: int) -> np.ndarray:

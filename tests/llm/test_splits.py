@@ -42,14 +42,15 @@ def brute(rows):
     return {s: find(s) for s, *_ in rows if s is not None}
 
 
-@pytest.mark.parametrize("bound", [10**6, 0])
-def test_groups(spark, bound):
+@pytest.mark.parametrize("sizes", [{}, {"fan_in": 2}, {"fan_in": 3, "forest_nodes": 40, "links_per_task": 7}])
+def test_groups(spark, sizes):
     rows = rows_of()
     df = spark.createDataFrame(rows, SCHEMA).repartition(9)
     rel = [splits.relation_key(F.col("parent")), splits.relation_key(F.col("digest"))]
-    got = {r.node: r.group_node for r in splits.related_groups(df, node="session_id", relations=rel, one_task_edges=bound).collect()}
+    got = {r.node: r.group_node for r in splits.related_groups(df, node="session_id", relations=rel, **sizes).collect()}
     assert got == brute(rows)
-    assert splits.related_groups(df.limit(0), node="session_id", relations=rel).count() == 0
+    if not sizes:
+        assert splits.related_groups(df.limit(0), node="session_id", relations=rel).count() == 0
 
 
 def test_splits_keep_groups_and_shares(spark):
