@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from packetlens.runtime import materialize
 
 CAPACITY = 2048
-#: Items packed by one task, about.
-ITEMS_PER_TASK = 200_000
-#: Poorly filled containers that a task hands on, to be packed with those of other tasks.
+#: Pieces packed by one task, about.
+ITEMS_PER_TASK = 20_000
+#: Poorly filled containers that a task hands on, to be packed again with those of as many
+#: tasks.  It bounds the next round, whatever the sizes; full containers are never handed on.
 HANDED_ON = 64
 
 
@@ -138,19 +139,19 @@ def fill_containers(
     size: str,
     capacity: int = CAPACITY,
     items_per_task: int = ITEMS_PER_TASK,
-    rows: int | None = None,
 ) -> DataFrame:
     """Containers of ``capacity`` holding every item once.
 
     Items are dealt to tasks by hash and packed there; each task hands its few worst
     containers on to the next, smaller round, so only the last round leaves room.  Equal
     sizes, repeated items and empty tables are fine; items of NULL or no size are left out.
+    Pieces are written and counted first, as their number sets the number of tasks.
     Returns ``container_id, container_offset, item, piece_no, item_start, size``.
     """
-    pieces = cut_items(sizes, item=item, size=size, capacity=capacity)
+    pieces = materialize(cut_items(sizes, item=item, size=size, capacity=capacity), "pieces")
     kind = dict(pieces.dtypes)["item"]
     schema = f"item {kind}, piece_no int, start long, size int, container_id long, container_offset int, again boolean"
-    tasks = max(1, -(-(sizes.count() if rows is None else rows) // items_per_task))
+    tasks = max(1, -(-pieces.count() // items_per_task))
     done, level = [], 0
     while True:
         dealt = pieces.repartition(tasks, F.xxhash64("item", "piece_no"))
@@ -161,7 +162,7 @@ def fill_containers(
         packed = materialize(packed, "containers")
         done.append(packed.where("not again"))
         pieces = packed.where("again").select("item", "piece_no", "start", "size")
-        tasks, level = -(-tasks // 64), level + 1
+        tasks, level = -(-tasks // HANDED_ON), level + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

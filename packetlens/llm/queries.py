@@ -32,7 +32,7 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "position",
         *[F.when(F.col(v) >= 0, F.col(v).cast("long")).alias(v) for v in FIELDS],
     )
-    # One exchange serves both aggregations: sessions are dealt to buckets of their group.
+    # Rows delivered twice meet here; every later exchange carries sketches only.
     key = ["configuration_id", "class_name", "capture_day", "protocol_id", "session_view_index", "position"]
     return obs.groupBy(*key).agg(*[F.max(v).alias(v) for v in FIELDS])
 
@@ -48,6 +48,37 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.unionByName(total.withColumn("capture_day", F.lit(None).cast("date")))
 
 
+def p1_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every answer of ``p1_percentiles`` whether its exact rank lies within 0.5 % of the
+    asked one.  A value that occurs often has a range of ranks; the nearest counts."""
+    group = ["configuration_id", "class_name"]
+    found = p1_percentiles(spark, sf_dir).where("n > 0")
+    names = [c for c in found.columns if c[0] == "p" and c[1:].isdigit()]
+    obs = _observations(spark, sf_dir).select(
+        *group, "capture_day", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS]))
+    ).where("value is not null")
+    # Values of one group and day meet their answers; equal values are counted before.
+    counts = obs.groupBy(*group, "capture_day", "field", "value").agg(F.count(F.lit(1)).alias("times"))
+    both = counts.unionByName(
+        counts.groupBy(*group, "field", "value").agg(F.sum("times").alias("times")).withColumn("capture_day", F.lit(None).cast("date"))
+    )
+    a, b = both.alias("a"), found.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "capture_day", "field"]]
+    ranked = a.join(b, same).groupBy(*[F.col(f"b.{c}") for c in [*group, "capture_day", "field"]]).agg(
+        F.sum("times").alias("all"),
+        *[F.sum(F.when(F.col("value") < F.col(p), F.col("times")).otherwise(0)).alias(f"{p}_lo") for p in names],
+        *[F.sum(F.when(F.col("value") <= F.col(p), F.col("times")).otherwise(0)).alias(f"{p}_hi") for p in names],
+    )
+    rows = [
+        F.struct(
+            F.lit(r).alias("rank"),
+            ((F.col(f"{p}_lo") <= (r + 0.005) * F.col("all")) & (F.col(f"{p}_hi") >= (r - 0.005) * F.col("all"))).alias("inside"),
+        )
+        for p, r in zip(names, RANKS)
+    ]
+    return ranked.select(*group, "capture_day", "field", F.inline(F.array(*rows)))
+
+
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.related_groups(
         table(spark, sf_dir, "session_manifest"),
@@ -89,6 +120,21 @@ def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("sessions"), *share)
 
 
+def p3_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions and groups of ``p3_splits``, groups that lie in several splits, and whether the
+    shares of all sessions are within half a percent of 70 / 15 / 15."""
+    s = p3_splits(spark, sf_dir)
+    groups = s.groupBy("group_session_id").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("split").alias("splits"),
+        *[F.sum((F.col("split") == x).cast("long")).alias(x) for x in ("train", "validation", "test")],
+    )
+    near = [F.abs(F.sum(x) / F.sum("n") - share) <= 0.005 for x, share in (("train", 0.7), ("validation", 0.15), ("test", 0.15))]
+    return groups.agg(
+        F.sum("n").alias("sessions"), F.count(F.lit(1)).alias("groups"),
+        F.sum((F.col("splits") > 1).cast("long")).alias("torn_groups"), (near[0] & near[1] & near[2]).alias("near_target"),
+    )
+
+
 def _overlap_rules() -> dict:
     return {
         "record_id": "record_no",
@@ -143,7 +189,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (whole, or pieces of those over 2,048 tokens) in containers of 2,048."""
     docs = table(spark, sf_dir, "documents")
     sizes = tokens.count_tokens(docs.where("text <> ''"), text="text", keep=["doc_id"])
-    packed = packing.fill_containers(sizes, item="doc_id", size="n_tokens", rows=docs.count())
+    packed = packing.fill_containers(sizes, item="doc_id", size="n_tokens")
     return packed.select(
         "container_id",
         "container_offset",
@@ -154,6 +200,27 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that the ids of ``p8_ids`` stand for."""
+    return tokens.decode_ids(p8_ids(spark, sf_dir), ids="ids", keep=["doc_id"])
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the containers of ``p9_containers``, documents with gaps or overlaps,
+    containers over capacity, and whether they are within 1 % of the fewest possible."""
+    packed = p9_containers(spark, sf_dir).withColumn("size", F.col("token_end") - F.col("token_start"))
+    whole = packed.groupBy("doc_id").agg(
+        F.sum("size").alias("held"), F.max("token_end").alias("last"), F.countDistinct("piece_no").alias("pieces"), F.count(F.lit(1)).alias("n")
+    ).agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("held") != F.col("last")) | (F.col("pieces") != F.col("n"))).alias("broken_documents"), F.sum("held").alias("tokens")
+    )
+    bins = packed.groupBy("container_id").agg(F.sum("size").alias("used")).agg(
+        F.count(F.lit(1)).alias("containers"), F.count_if(F.col("used") > packing.CAPACITY).alias("overfull")
+    )
+    few = F.col("containers") <= F.ceil(F.col("tokens") / packing.CAPACITY) * 1.01 + 1
+    return whole.crossJoin(bins).select("documents", "broken_documents", "overfull", few.alias("near_fewest"))  # one row each
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest runs of characters shared, 200 or more at a stretch, with another document."""
     return spans.shared_spans(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
@@ -169,8 +236,8 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            p1_percentiles, p3_found, p3_splits, p3_balance, p6_found, p6_report,
-            p7_found, p7_copies, p8_ids, p9_containers, p10_found, p10_share,
+            p1_percentiles, p1_rank_errors, p3_found, p3_splits, p3_balance, p3_check, p6_found, p6_report,
+            p7_found, p7_copies, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_share,
         )
     }
 
@@ -188,7 +255,12 @@ _P3_SQL = f"""WITH RECURSIVE t AS ({_relation("parent_group_id", "p")} UNION {_r
 h AS (SELECT k, MIN(s) AS m FROM t GROUP BY k), e AS (SELECT s AS a, m AS b FROM t JOIN h USING (k) WHERE s<>m UNION SELECT m, s FROM t JOIN h USING (k) WHERE s<>m),
 w(x,y) AS (SELECT DISTINCT session_id, session_id FROM session_manifest UNION SELECT w.x, e.b FROM w JOIN e ON w.y=e.a),
 g AS (SELECT x AS session_id, MIN(y) AS group_session_id FROM w GROUP BY x)
-SELECT group_session_id, session_id FROM g WHERE session_id<>group_session_id"""
+"""
+_BLANKS = "chr(32)||chr(9)||chr(10)||chr(13)||chr(160)"
+_P1_SQL = rf"""WITH o AS (SELECT upper(regexp_replace(trim(configuration_id, {_BLANKS}),'[_\s]','-','g')) AS configuration_id, nullif(regexp_replace(lower(trim(class_name, {_BLANKS})),'\.+$',''),'') AS class_name,
+ capture_day, UNNEST(['iat_us','frame_length_bytes']) AS field, UNNEST([iat_us, CAST(frame_length_bytes AS BIGINT)]) AS v FROM packet_observations),
+g AS (SELECT DISTINCT configuration_id, class_name, capture_day, field FROM o WHERE v>=0 UNION SELECT DISTINCT configuration_id, class_name, NULL, field FROM o WHERE v>=0)
+SELECT g.*, UNNEST([{", ".join(f"{r}::DOUBLE" for r in RANKS)}]) AS rank, TRUE AS inside FROM g"""
 
 _URL = r"""regexp_replace(regexp_replace(trim(url),'^([a-zA-Z][a-zA-Z0-9+.-]*:)?//',''),'[?#].*$','','s')"""
 _URL = rf"""nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url_decode(replace({_URL},'+','%2B'))),'^[^/@]*@',''),'^www\.',''),'^([^/:]*):[0-9]*(/|$)','\1\2'),'(/+(index\.html)?)+$',''),'')"""
@@ -208,7 +280,11 @@ spans AS (SELECT doc_id, MIN(i) AS span_start, MAX(i)+200 AS span_end FROM r GRO
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p3_found": _P3_SQL,
+        "p1_rank_errors": _P1_SQL,
+        "p3_found": f"{_P3_SQL} SELECT group_session_id, session_id FROM g WHERE session_id<>group_session_id",
+        "p3_check": f"{_P3_SQL} SELECT COUNT(*) AS sessions, COUNT(DISTINCT group_session_id) AS groups, 0 AS torn_groups, TRUE AS near_target FROM g",
+        "p8_decoded": "SELECT doc_id, coalesce(text,'') AS text FROM documents",
+        "p9_fill": "SELECT COUNT(DISTINCT doc_id) AS documents, 0 AS broken_documents, 0 AS overfull, TRUE AS near_fewest FROM documents WHERE text<>''",
         "p6_found": f"{_P6_SQL} SELECT DISTINCT least(a,b) AS record_no_a, greatest(a,b) AS record_no_b FROM p",
         "p6_report": f"""{_P6_SQL} SELECT r.sp AS split, m.class_name, COUNT(DISTINCT record_no) AS overlapping_records FROM r JOIN (SELECT DISTINCT record_no, class_name FROM session_manifest) m USING (record_no)
  WHERE record_no IN (SELECT a FROM p) GROUP BY 1,2""",

@@ -8,6 +8,7 @@ Texts are cut into pre-tokens first; each distinct pre-token is encoded once per
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import re
 import struct
@@ -18,7 +19,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = os.environ.get("PACKETLENS_TOKENIZERS", "/opt/tokenizers")
@@ -79,7 +80,11 @@ def serialize_model(tokens: list[bytes]) -> bytes:
 def load_vocabulary(path: str) -> list[bytes]:
     """Tokens in order of rank from a ``.tiktoken`` file."""
     with open(path, "rb") as handle:
-        pairs = [line.split() for line in handle if line.strip()]
+        return parse_vocabulary(handle.read())
+
+
+def parse_vocabulary(data: bytes) -> list[bytes]:
+    pairs = [line.split() for line in data.splitlines() if line.strip()]
     tokens = [b""] * len(pairs)
     for token, rank in pairs:
         tokens[int(rank)] = base64.b64decode(token)
@@ -91,11 +96,11 @@ class Encoder:
 
     _loaded: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None = None, data: bytes | None = None):
         import regex
         import sentencepiece
 
-        self.tokens = load_vocabulary(path)
+        self.tokens = load_vocabulary(path) if data is None else parse_vocabulary(data)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialize_model(self.tokens))
         self.cut = regex.compile(PATTERN).findall
         self.cut_ascii = re.compile(ASCII_PATTERN).findall
@@ -103,10 +108,12 @@ class Encoder:
         self.known: dict[str, list[int]] = {}
 
     @classmethod
-    def get(cls, path: str) -> Encoder:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+    def get(cls, shipped) -> Encoder:
+        """The encoder of a shipped vocabulary (see :func:`ship`), made once per worker."""
+        name, content = shipped
+        if name not in cls._loaded:
+            cls._loaded[name] = cls(data=content.value)
+        return cls._loaded[name]
 
     def _mapped(self, words: Iterable[str]) -> list[list[int]]:
         shown = [w.encode("utf-8", "replace").decode("latin-1").translate(self.table) for w in words]
@@ -136,16 +143,24 @@ def vocabulary_path(name: str = BYTE_BPE_50K, directory: str | None = None) -> s
     return os.path.join(directory or TOKENIZER_DIR, name)
 
 
+def ship(spark: SparkSession, path: str | None = None) -> tuple:
+    """A vocabulary file (1 MB or so), read by the driver and sent to the executors, which need
+    no file of their own; with a digest as its name."""
+    with open(path or vocabulary_path(), "rb") as handle:
+        data = handle.read()
+    return hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
+
+
 def encode_texts(df: DataFrame, *, text: str, keep: list[str], path: str | None = None, ids: str = "ids") -> DataFrame:
     """``keep`` and the token ids of ``text`` (array<int>), without special tokens.
 
     NULL and empty texts give an empty list.  A narrow step: no shuffle, one Arrow batch at a
     time, columns other than ``keep`` and ``text`` are never read.
     """
-    path = path or vocabulary_path()
+    shipped = ship(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder.get(path)
+        coder = Encoder.get(shipped)
         for batch in batches:
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             texts = batch.column(batch.num_columns - 1)
@@ -164,10 +179,10 @@ def encode_texts(df: DataFrame, *, text: str, keep: list[str], path: str | None
 
 def count_tokens(df: DataFrame, *, text: str, keep: list[str], path: str | None = None, name: str = "n_tokens") -> DataFrame:
     """``keep`` and the number of tokens of ``text``; NULL and empty texts have none."""
-    path = path or vocabulary_path()
+    shipped = ship(df.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Encoder.get(path)
+        coder = Encoder.get(shipped)
         for pdf in batches:
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
@@ -177,3 +192,18 @@ def count_tokens(df: DataFrame, *, text: str, keep: list[str], path: str | None
     types = dict(df.dtypes)
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in keep], f"`{name}` long"])
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string")).mapInPandas(run, schema)
+
+
+def decode_ids(df: DataFrame, *, ids: str, keep: list[str], path: str | None = None, name: str = "text") -> DataFrame:
+    """``keep`` and the text of a list of token ids, the inverse of :func:`encode_texts` (whose
+    NULL texts come back empty); NULL lists give NULL."""
+    shipped = ship(df.sparkSession, path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = Encoder.get(shipped)
+        for pdf in batches:
+            yield pdf.iloc[:, :-1].assign(**{name: [None if x is None else coder.decode(x) for x in pdf.iloc[:, -1]]})
+
+    types = dict(df.dtypes)
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keep], f"`{name}` string"])
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`")).mapInPandas(run, schema)

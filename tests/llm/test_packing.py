@@ -30,7 +30,7 @@ def check(rows, sizes, capacity):
     return len(by)
 
 
-@pytest.mark.parametrize("per_task", [10**6, 90])
+@pytest.mark.parametrize("per_task", [10**6, 90, 7])
 def test_containers(spark, per_task):
     rnd = random.Random(2)
     sizes = [(i, max(1, int(rnd.lognormvariate(4, 1)))) for i in range(700)] + [(1000, 64 * 3), (1001, 64 * 2 + 1), (1002, 64), (1003, 0), (1004, None)]
@@ -38,7 +38,7 @@ def test_containers(spark, per_task):
     out = packing.fill_containers(df.select("item", "n"), item="item", size="n", capacity=64, items_per_task=per_task).collect()
     n = check(out, [(i, s) for i, s in sizes if s], 64)
     low = -(-sum(s or 0 for _, s in sizes) // 64)
-    assert n <= low * 1.03 + 1
+    assert n <= low * 1.03 + 1 + (per_task < 10) * 8
     assert packing.fill_containers(df.limit(0), item="item", size="n", capacity=64).count() == 0
 
 
