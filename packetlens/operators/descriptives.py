@@ -7,33 +7,45 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetlens.operators.distances import running_sum
+from packetlens.operators.distances import running_sums
+from packetlens.operators.weights import ESTIMATORS
 
 #: Cumulative shares this close below a rank count as having reached it (floating-point ties).
 TIE = 1e-12
 
 
-def weighted_quantiles(shares: DataFrame, *, keys: Sequence[str], ranks: Sequence[float]) -> DataFrame:
+def weighted_quantiles(shares: DataFrame, *, keys: Sequence[str], ranks: Sequence[float], mass: str = "mass") -> DataFrame:
     """Lower inverse distribution function: the first value whose cumulative share reaches a
     rank, without interpolation.  ``shares`` has ``value`` and ``mass`` summing to 1 by key."""
-    cum = running_sum(shares, keys=keys, order="value", value="mass", out="cum")
+    cum = running_sums(shares, keys=keys, order="value", values=[mass])
     return cum.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("cum") >= r - TIE, F.col("value"))).alias(f"q{round(r * 100):02d}") for r in ranks]
+        *[F.min(F.when(F.col(f"{mass}_cum") >= r - TIE, F.col("value"))).alias(f"q{round(r * 100):02d}") for r in ranks]
     )
 
 
 def numeric_descriptives(shares: DataFrame, *, keys: Sequence[str]) -> DataFrame:
-    """Weighted mean, five quantiles, interquartile range, minimum and maximum."""
-    ranks = (0.1, 0.25, 0.5, 0.75, 0.9)
-    cum = running_sum(shares, keys=keys, order="value", value="mass", out="cum")
-    at = {r: F.min(F.when(F.col("cum") >= r - TIE, F.col("value"))) for r in ranks}
-    return cum.groupBy(*keys).agg(
-        F.sum(F.col("value") * F.col("mass")).alias("mean"),
-        *[c.alias(f"q{round(r * 100):02d}") for r, c in at.items()],
-        (at[0.75] - at[0.25]).alias("iqr"),
+    """Weighted mean, five quantiles, interquartile range, minimum and maximum by key and
+    estimator; ``shares`` has ``value`` and a column of shares per estimator, which one pass
+    takes side by side."""
+    ranks = {r: f"q{round(r * 100):02d}" for r in (0.1, 0.25, 0.5, 0.75, 0.9)}
+    cum = running_sums(shares, keys=keys, order="value", values=list(ESTIMATORS.values()))
+    found = cum.groupBy(*keys).agg(
+        *[F.sum(F.col("value") * F.col(m)).alias(f"{m}_mean") for m in ESTIMATORS.values()],
+        *[
+            F.min(F.when(F.col(f"{m}_cum") >= r - TIE, F.col("value"))).alias(f"{m}_{n}")
+            for m in ESTIMATORS.values() for r, n in ranks.items()
+        ],
         F.min("value").alias("minimum"),
         F.max("value").alias("maximum"),
     )
+    both = [
+        F.struct(
+            F.lit(e).alias("estimator"), F.col(f"{m}_mean").alias("mean"), *[F.col(f"{m}_{n}").alias(n) for n in ranks.values()],
+            (F.col(f"{m}_q75") - F.col(f"{m}_q25")).alias("iqr"),
+        )
+        for e, m in ESTIMATORS.items()
+    ]
+    return found.select(*keys, "minimum", "maximum", F.inline(F.array(*both)))
 
 
 def plain_summary(df: DataFrame, *, keys: Sequence[str], value: str) -> DataFrame:

@@ -58,7 +58,10 @@ def unit_distances(
     long = base.select(*group, position, F.col(session).alias("session"), F.inline(named)).where("num is not null or cat is not null")
     key = [*group, position, "feature"]
     counts = long.groupBy(*key, "num", "cat").agg(F.count(F.lit(1)).alias("n"))
-    total = long.groupBy(*key).agg(F.countDistinct("session").alias("sessions"), F.count(F.lit(1)).alias("total"))
+    # Sessions first, which lie together already, then their number: no row is expanded.
+    total = long.groupBy(*key, "session").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("total")
+    )
     mass = counts.join(total.drop("sessions"), key).withColumn("mass", F.col("n") / F.col("total"))
     ends = pairs.select(
         "pair_id",

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: stands for a missing class
+MISSING = "(missing)"
+#: fixed values: numeric and categorical features, and contrasts in report order
 NUMERIC = (
     "frame_length_bytes", "ip_total_length_bytes", "tcp_payload_length_bytes", "ipv4_ttl", "tcp_window_raw", "iat_us",
 )
@@ -27,13 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
-    """One row per observed packet of a known class, under one spelling of its group; with
-    ``once`` false also rows delivered twice, where only distinct keys are read from it."""
+    """One row per observed packet, under one spelling of its group; a missing class is the class
+    ``(missing)``.  With ``once`` false also rows delivered twice, where only distinct keys are
+    read from it.  Rows are exchanged once, by session: repeats, and every window over a
+    session later, are found where they lie."""
     o = table(spark, sf_dir, "packet_observations")
-    rows = o.where("class_name is not null").select(
+    rows = o.select(
         "protocol_id",
         F.upper(F.replace(F.trim("configuration_id"), F.lit("_"), F.lit("-"))).alias("configuration_id"),
-        F.rtrim(F.lower(F.trim("class_name")), F.lit(".")).alias("class_name"),
+        F.coalesce(F.rtrim(F.lower(F.trim("class_name")), F.lit(".")), F.lit(MISSING)).alias("class_name"),
         "session_view_index",
         "position",
         "direction",
@@ -41,11 +46,13 @@ def observations(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFra
         F.when(F.col("iat_us") >= 0, F.col("iat_us")).alias("iat_us"),
         "tcp_flag_pattern",
     )
-    return rows.distinct() if once else rows
+    return rows.repartition("configuration_id", "class_name", "session_view_index").distinct() if once else rows
 
 
 def scoped(obs: DataFrame) -> DataFrame:
-    """Every observation under scope ``all``, those of held-out sessions also under ``heldout``."""
+    """Every observation under scope ``all``; those of every fourth session also under
+    ``heldout``, which stands for a held-out split that the table does not have.  Only queries
+    that compare two scopes read it."""
     scopes = F.when(F.col("session_view_index") % 4 == 0, F.array(F.lit("all"), F.lit("heldout"))).otherwise(
         F.array(F.lit("all"))
     )
@@ -90,10 +97,10 @@ def configuration_pairs(obs: DataFrame) -> DataFrame:
 
 OBS_SQL = """
 obs AS (SELECT DISTINCT protocol_id, upper(replace(trim(configuration_id),'_','-')) AS configuration_id,
-  rtrim(lower(trim(class_name)),'.') AS class_name, session_view_index, position, direction,
+  coalesce(rtrim(lower(trim(class_name)),'.'),'(missing)') AS class_name, session_view_index, position, direction,
   frame_length_bytes, ip_total_length_bytes, tcp_payload_length_bytes, ipv4_ttl, tcp_window_raw,
   CASE WHEN iat_us>=0 THEN iat_us END AS iat_us, tcp_flag_pattern
-  FROM packet_observations WHERE class_name IS NOT NULL),
+  FROM packet_observations),
 sc AS (SELECT 'all' AS cohort_scope, * FROM obs UNION ALL SELECT 'heldout', * FROM obs WHERE session_view_index % 4 = 0),
 cf AS (SELECT DISTINCT protocol_id, configuration_id, split_part(configuration_id,'-',1) camp, split_part(configuration_id,'-',2) os,
   split_part(configuration_id,'-',3) br, split_part(configuration_id,'-',4) net FROM obs),

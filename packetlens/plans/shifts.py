@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.operators import bootstrap, descriptives, distances, positional, rollups, weights
 from packetlens.operators.rollups import stable_round
+from packetlens.runtime import materialize
 from packetlens.plans.observations import (
     CATEGORICAL, CONTRASTS, FAMILIES, GROUP, NUMERIC, OBS_SQL, configuration_pairs, distance_sql, long_sql, mass_sql,
     observations, scoped,
@@ -17,42 +20,50 @@ UNIT = KEYS[:-1]
 RANKS = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
-def _numeric_masses(obs: DataFrame, names=NUMERIC) -> DataFrame:
-    feats = {n: F.col(n).cast("long") for n in names}
-    return weights.value_masses(obs, group=GROUP, session="session_view_index", features=feats, direction="direction")
-
-
-def _categorical_masses(obs: DataFrame, names=CATEGORICAL) -> DataFrame:
-    return weights.value_masses(obs, group=GROUP, session="session_view_index", features={n: F.col(n) for n in names})
-
-
-def _shares(masses: DataFrame) -> DataFrame:
-    return weights.normalized(masses, group=GROUP)
+def _shares(
+    obs: DataFrame, numeric=NUMERIC, categorical=CATEGORICAL, strata: tuple[str, ...] = ("all", "c2s", "s2c")
+) -> DataFrame:
+    """Value histograms of every group as shares, numbers in ``value`` and texts in ``label``.
+    They are written once, being far smaller than the observations, and read by all that
+    follows."""
+    masses = weights.value_masses(
+        obs, group=GROUP, session="session_view_index", features={n: F.col(n).cast("long") for n in numeric},
+        direction="direction" if numeric and set(strata) != {"all"} else None, whole="all" in strata,
+        labels={n: F.col(n) for n in categorical},
+    )
+    if not categorical:
+        masses = masses.withColumn("label", F.lit(None).cast("string"))
+    return weights.normalized(materialize(masses, "masses"), group=GROUP)
 
 
-def _by_estimator(masses: DataFrame) -> DataFrame:
-    return weights.by_estimator(_shares(masses), keep=[*GROUP, "feature", "stratum", "value"], out="mass")
+_SIDES = [f"{end}_{t}" for t in ("sessions", "observations") for end in ("left", "right")]
 
 
-def _distances(obs: DataFrame, pairs: DataFrame, numeric=NUMERIC, categorical=CATEGORICAL) -> DataFrame:
+def _distances(
+    obs: DataFrame, pairs: DataFrame, numeric=NUMERIC, categorical=CATEGORICAL, *, strata=("all", "c2s", "s2c"), estimators=tuple(weights.ESTIMATORS)
+) -> DataFrame:
+    """Distances of all pairs with the support of both sides."""
+    masses = [weights.ESTIMATORS[e] for e in estimators]
+    shares = _shares(obs, numeric, categorical, strata)
     parts = []
-    if numeric:
-        ks = distances.signed_masses(_shares(_numeric_masses(obs, numeric)), pairs, side="configuration_id", keys=UNIT)
-        parts.append(distances.weighted_ks(ks, keys=UNIT).withColumn("distance_statistic", F.lit("ks")))
-    if categorical:
-        tv = distances.signed_masses(_shares(_categorical_masses(obs, categorical)), pairs, side="configuration_id", keys=UNIT)
-        parts.append(distances.total_variation(tv, keys=UNIT).withColumn("distance_statistic", F.lit("total_variation")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for names, column, measure, label in (
+        (numeric, "value", distances.weighted_ks, "ks"), (categorical, "label", distances.total_variation, "total_variation"),
+    ):
+        if names:
+            rows = distances.signed_masses(
+                shares.where(f"{column} is not null"), pairs, side="configuration_id", keys=UNIT, value=column, masses=masses,
+                totals=("sessions", "observations"),
+            )
+            parts.append(measure(rows, keys=UNIT, masses=masses, carry=_SIDES).withColumn("distance_statistic", F.lit(label)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _one_feature(estimator: str, numeric, categorical, strata: tuple[str, ...]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         obs = observations(spark, sf_dir).withColumn("cohort_scope", F.lit("all"))
-        d = _distances(obs, configuration_pairs(observations(spark, sf_dir, once=False)), numeric, categorical)
-        return d.where((F.col("estimator") == estimator) & F.col("stratum").isin(*strata)).select(
+        pairs = configuration_pairs(observations(spark, sf_dir, once=False))
+        d = _distances(obs, pairs, numeric, categorical, strata=strata, estimators=(estimator,))
+        return d.where(F.col("stratum").isin(*strata)).select(
             "pair_id", "class_name", "feature", "stratum", F.round("distance", 9).alias("distance")
         )
 
@@ -73,56 +84,53 @@ def _one_feature_sql(estimator: str, numeric, categorical, strata) -> str:
 
 def weighted_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session-balanced quantiles of every group and numeric feature (all directions)."""
-    sh = _by_estimator(_numeric_masses(observations(spark, sf_dir).withColumn("cohort_scope", F.lit("all"))))
-    sh = sh.where("estimator = 'session_balanced' and stratum = 'all'")
-    return descriptives.weighted_quantiles(sh, keys=[*GROUP, "feature"], ranks=RANKS).drop("cohort_scope")
+    obs = observations(spark, sf_dir).withColumn("cohort_scope", F.lit("all"))
+    sh = _shares(obs, categorical=(), strata=("all",))
+    return descriptives.weighted_quantiles(sh, keys=[*GROUP, "feature"], ranks=RANKS, mass="balanced").drop("cohort_scope")
 
 
 def numeric_descriptives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sh = _by_estimator(_numeric_masses(scoped(observations(spark, sf_dir))))
-    keys = [*GROUP, "feature", "stratum", "estimator"]
-    d = descriptives.numeric_descriptives(sh, keys=keys)
+    sh = _shares(scoped(observations(spark, sf_dir)), categorical=())
+    d = descriptives.numeric_descriptives(sh, keys=[*GROUP, "feature", "stratum"])
     unit = F.when(F.col("feature") == "iat_us", 1000.0).otherwise(1.0)
     label = F.when(F.col("feature") == "iat_us", "ms").when(F.col("feature") == "ipv4_ttl", "hops").when(
         F.col("feature") == "tcp_window_raw", "raw"
     ).otherwise("bytes")
     return d.select(
-        *keys, label.alias("unit"),
+        *GROUP, "feature", "stratum", "estimator", label.alias("unit"),
         *[F.round(F.col(c) / unit + 1e-9, 6).alias(c) for c in ("mean", "q10", "q25", "q50", "q75", "q90", "iqr", "minimum", "maximum")],
     )
 
 
 def categorical_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sh = _by_estimator(_categorical_masses(scoped(observations(spark, sf_dir))))
-    fin = F.col("value").contains("FIN") | F.col("value").contains("RST")
+    sh = _shares(scoped(observations(spark, sf_dir)), numeric=(), strata=("all",))
+    sh = weights.by_estimator(sh, keep=[*GROUP, "feature", "label"], out="mass")
+    fin = F.col("label").contains("FIN") | F.col("label").contains("RST")
     return sh.select(
-        *GROUP, "feature", "estimator", F.col("value").alias("category"), F.round("mass", 9).alias("prevalence"),
+        *GROUP, "feature", "estimator", F.col("label").alias("category"), F.round("mass", 9).alias("prevalence"),
         ((F.col("feature") == "tcp_flag_pattern") & fin).alias("termination_sensitive"),
     )
 
 
+def _long(spark: SparkSession, sf_dir: str, *, scopes=("all", "heldout"), strata=("all", "c2s", "s2c"), estimators=tuple(weights.ESTIMATORS)) -> DataFrame:
+    """Distances of the scopes, strata and estimators asked for; nothing else is computed."""
+    obs = observations(spark, sf_dir)
+    obs = scoped(obs) if "heldout" in scopes else obs.withColumn("cohort_scope", F.lit("all"))
+    pairs = configuration_pairs(observations(spark, sf_dir, once=False))
+    d = _distances(obs, pairs, strata=strata, estimators=estimators)
+    # a handful of rows: configurations squared
+    out = d.join(F.broadcast(pairs.select("pair_id", "contrast")), "pair_id")
+    return out.select(*KEYS, "pair_id", "contrast", "distance_statistic", F.round("distance", 9).alias("distance"), *_SIDES)
+
+
 def marginal_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distance: scope x estimator x stratum x pair x class x feature, with support."""
-    plain = observations(spark, sf_dir)
-    obs, pairs = scoped(plain), configuration_pairs(observations(spark, sf_dir, once=False))
-    d = _distances(obs, pairs)
-    totals = weights.group_totals(_numeric_masses(obs), group=GROUP).unionByName(
-        weights.group_totals(_categorical_masses(obs), group=GROUP)
-    )
-    named = pairs.select("pair_id", "contrast", "left_side", "right_side")
-    on = ["cohort_scope", "class_name", "feature", "stratum"]
+    return _long(spark, sf_dir)
 
-    def side(which):
-        return totals.select(
-            *on, F.col("configuration_id").alias(f"{which}_side"),
-            F.col("sessions").alias(f"{which}_sessions"), F.col("observations").alias(f"{which}_observations"),
-        )
 
-    out = d.join(named, "pair_id").join(side("left"), [*on, "left_side"]).join(side("right"), [*on, "right_side"])
-    return out.where("not (contrast = 'temporal' and cohort_scope = 'all')").select(
-        *KEYS, "pair_id", "contrast", "distance_statistic", F.round("distance", 9).alias("distance"),
-        "left_sessions", "right_sessions", "left_observations", "right_observations",
-    )
+def _main(spark: SparkSession, sf_dir: str, scopes=("all",)) -> DataFrame:
+    """The distances that roll-ups report: session-balanced, both directions together."""
+    return _long(spark, sf_dir, scopes=scopes, strata=("all",), estimators=("session_balanced",))
 
 
 _KEYS_SQL = ", ".join(KEYS)
@@ -138,8 +146,7 @@ ml AS (SELECT {', '.join('d.' + k for k in KEYS)}, d.pair_id, p.contrast, distan
   l.sessions AS left_sessions, r.sessions AS right_sessions, l.observations AS left_observations, r.observations AS right_observations
   FROM (SELECT *, 'ks' AS distance_statistic FROM kd UNION ALL SELECT *, 'total_variation' FROM td) d JOIN pairs p USING (pair_id)
   JOIN tot l ON l.cohort_scope=d.cohort_scope AND l.class_name=d.class_name AND l.feature=d.feature AND l.stratum=d.stratum AND l.configuration_id=p.left_side
-  JOIN tot r ON r.cohort_scope=d.cohort_scope AND r.class_name=d.class_name AND r.feature=d.feature AND r.stratum=d.stratum AND r.configuration_id=p.right_side
-  WHERE NOT (p.contrast='temporal' AND d.cohort_scope='all'))"""
+  JOIN tot r ON r.cohort_scope=d.cohort_scope AND r.class_name=d.class_name AND r.feature=d.feature AND r.stratum=d.stratum AND r.configuration_id=p.right_side)"""
 
 _SUM_KEYS = ["cohort_scope", "estimator", "stratum", "feature", "contrast"]
 SUMMARY_SQL = f"""{LONG_SQL},
@@ -148,17 +155,17 @@ su AS (SELECT {', '.join(_SUM_KEYS)}, COUNT(*) AS "count", AVG(distance) AS mean
   quantile_cont(distance,0.75)-quantile_cont(distance,0.25) AS iqr, MAX(distance) AS maximum FROM ml GROUP BY ALL)"""
 
 
-def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descriptives.plain_summary(marginal_long(spark, sf_dir), keys=_SUM_KEYS, value="distance")
+def _summary(distances_: DataFrame) -> DataFrame:
+    return descriptives.plain_summary(distances_, keys=_SUM_KEYS, value="distance")
 
 
 def summary_linear_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _summary(spark, sf_dir)
+    s = _summary(marginal_long(spark, sf_dir))
     return s.select(*_SUM_KEYS, "count", *[stable_round(c, 8).alias(c) for c in ("mean", "median", "q25", "q75", "iqr", "maximum")])
 
 
 def marginal_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _summary(spark, sf_dir).where("cohort_scope='heldout' and estimator='session_balanced' and stratum='all'")
+    s = _summary(_main(spark, sf_dir))
     s = s.withColumn("mean", stable_round("mean", 8)).withColumn("median", stable_round("median", 8)).withColumnRenamed("count", "units")
     return descriptives.pivot_measures(
         s, keys=["feature"], pivot="contrast", values=CONTRASTS, measures=("mean", "median", "units")
@@ -168,7 +175,7 @@ def marginal_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WIDE_SQL = f"""{SUMMARY_SQL} SELECT feature, {', '.join(
     f"MAX(CASE WHEN contrast='{c}' THEN {e} END) AS {c}_{n}" for c in CONTRASTS
     for e, n in (("ROUND(mean+3E-11,8)", "mean"), ("ROUND(median+3E-11,8)", "median"), ('"count"', "units")))}
-FROM su WHERE cohort_scope='heldout' AND estimator='session_balanced' AND stratum='all' GROUP BY feature"""
+FROM su WHERE cohort_scope='all' AND estimator='session_balanced' AND stratum='all' GROUP BY feature"""
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +185,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _summary(spark, sf_dir).where("estimator='session_balanced' and stratum='all' and contrast <> 'temporal'")
+    s = _summary(_main(spark, sf_dir, ("all", "heldout")))
     s = s.select("cohort_scope", "contrast", "feature", stable_round("mean", 8).alias("mean"), stable_round("median", 8).alias("median"))
     return descriptives.pivot_measures(
         s, keys=["contrast", "feature"], pivot="cohort_scope", values=("heldout", "all"), measures=("mean", "median")
@@ -186,9 +193,10 @@ def _ranked_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _ranked_scopes(spark, sf_dir).where(F.col("feature").isin(*FAMILIES))
-    return descriptives.average_ranks(s, keys=["contrast"], value="heldout_median", out="heldout_rank", descending=True).select(
-        "contrast", "feature", "heldout_rank"
+    s = _summary(_main(spark, sf_dir)).where(F.col("feature").isin(*FAMILIES))
+    s = s.withColumn("median", stable_round("median", 8))
+    return descriptives.average_ranks(s, keys=["contrast"], value="median", out="median_rank", descending=True).select(
+        "contrast", "feature", "median_rank"
     )
 
 
@@ -208,7 +216,7 @@ _FAM = ", ".join(f"'{f}'" for f in FAMILIES)
 SCOPES_SQL = f"""{SUMMARY_SQL},
 rs AS (SELECT contrast, feature, MAX(CASE WHEN cohort_scope='heldout' THEN ROUND(mean+3E-11,8) END) AS hm, MAX(CASE WHEN cohort_scope='heldout' THEN ROUND(median+3E-11,8) END) AS hd,
   MAX(CASE WHEN cohort_scope='all' THEN ROUND(mean+3E-11,8) END) AS am, MAX(CASE WHEN cohort_scope='all' THEN ROUND(median+3E-11,8) END) AS ad
-  FROM su WHERE estimator='session_balanced' AND stratum='all' AND contrast<>'temporal' GROUP BY ALL),
+  FROM su WHERE estimator='session_balanced' AND stratum='all' GROUP BY ALL),
 rk AS (SELECT *, rank() OVER (PARTITION BY contrast ORDER BY hd DESC)+(COUNT(*) OVER (PARTITION BY contrast,hd)-1)/2.0E0 AS hr,
   rank() OVER (PARTITION BY contrast ORDER BY ad DESC)+(COUNT(*) OVER (PARTITION BY contrast,ad)-1)/2.0E0 AS ar,
   row_number() OVER (PARTITION BY contrast ORDER BY hd DESC, feature)<=3 AS ht, row_number() OVER (PARTITION BY contrast ORDER BY ad DESC, feature)<=3 AS a3
@@ -223,8 +231,7 @@ FROM (SELECT contrast, feature, hm, am, hd AS hd_, ad AS ad_ FROM rs) rs LEFT JO
 
 
 def _pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = marginal_long(spark, sf_dir).where("cohort_scope='heldout' and estimator='session_balanced' and stratum='all'")
-    return rollups.class_rollup(m, keys=["pair_id", "contrast", "feature"], value="distance")
+    return rollups.class_rollup(_main(spark, sf_dir), keys=["pair_id", "contrast", "feature"], value="distance")
 
 
 def pair_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +255,7 @@ def pair_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CASE_FAM = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{v}'" for f, v in FAMILIES.items()) + " ELSE 'redundant_reported_only' END"
 PAIR_SQL = f"""{LONG_SQL},
 pf AS (SELECT pair_id, contrast, feature, COUNT(*) AS classes, AVG(distance) AS mean, quantile_cont(distance,0.5) AS median, MAX(distance) AS maximum
-  FROM ml WHERE cohort_scope='heldout' AND estimator='session_balanced' AND stratum='all' GROUP BY ALL),
+  FROM ml WHERE cohort_scope='all' AND estimator='session_balanced' AND stratum='all' GROUP BY ALL),
 fa AS (SELECT pair_id, contrast, family, AVG(mean) AS mean, AVG(median) AS median, AVG(maximum) AS maximum, string_agg(feature, ';' ORDER BY feature) AS features
   FROM (SELECT *, {_CASE_FAM} AS family FROM pf) WHERE family<>'redundant_reported_only' GROUP BY ALL)"""
 
@@ -400,7 +407,7 @@ ORACLE = {name: _one_feature_sql(*spec) for name, spec in _SPEC.items()} | {
     "summary_linear_quantiles": f"""{SUMMARY_SQL} SELECT {', '.join(_SUM_KEYS)}, "count", ROUND(mean+3E-11,8) AS mean, ROUND(median+3E-11,8) AS median,
  ROUND(q25+3E-11,8) AS q25, ROUND(q75+3E-11,8) AS q75, ROUND(iqr+3E-11,8) AS iqr, ROUND(maximum+3E-11,8) AS maximum FROM su""",
     "marginal_wide": _WIDE_SQL,
-    "average_rank": f"{SCOPES_SQL} SELECT contrast, feature, hr AS heldout_rank FROM rk",
+    "average_rank": f"{SCOPES_SQL} SELECT contrast, feature, ar AS median_rank FROM rk",
     "spearman_rank": f"{SCOPES_SQL} SELECT contrast, ROUND(rho,9) AS rho FROM rh",
     "scope_sensitivity": _SENS_SQL,
     "pair_feature": f"{PAIR_SQL} SELECT pair_id, contrast, feature, classes, ROUND(mean+3E-11,8) AS mean, ROUND(median+3E-11,8) AS median, ROUND(maximum+3E-11,8) AS maximum, {_CASE_FAM} AS family FROM pf",
