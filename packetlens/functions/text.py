@@ -9,7 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: fixed values: what counts as a URL in a text, and the resolver in front of a DOI
 _URL = r"(?i)https?\s*:\s*//[\w./?=&%#~:+-]+"
+_RESOLVER = r"^https?://(?:dx\.)?doi\.org/"
 _WWW = r"(?i)\bwww\.[\w./?=&%#~:+-]+"
 
 
@@ -35,7 +37,7 @@ def strip_uri(value: Column) -> Column:
 
 def clean_doi(value: Column) -> Column:
     """Lower case, without resolver prefix and trailing question marks."""
-    bare = F.regexp_replace(F.lower(strip_uri(value)), r"^https?://(?:dx\.)?doi\.org/", "")
+    bare = F.regexp_replace(F.lower(strip_uri(value)), _RESOLVER, "")
     return F.trim(F.regexp_replace(bare, r"\?+$", ""))
 
 
@@ -49,6 +51,40 @@ def dedup_key(doi: Column, title: Column, venue: Column, year: Column) -> Column
     return F.when(d != "", F.concat(F.lit("doi:"), d)).otherwise(other)
 
 
+#: fixed values: last part of a stream's URI -> venue and prefix of its main proceedings
+VENUES = {
+    "sp": ("IEEE S&P", "sp"),
+    "ccs": ("ACM CCS", "ccs"),
+    "uss": ("USENIX Security", "uss"),
+    "ndss": ("NDSS", "ndss"),
+    "sigcomm": ("SIGCOMM", "sigcomm"),
+    "nsdi": ("NSDI", "nsdi"),
+    "sigmetrics": ("SIGMETRICS", "sigmetrics"),
+    "aaai": ("AAAI", "aaai"),
+    "nips": ("NeurIPS", "neurips"),
+    "www": ("The Web Conference (WWW)", "www"),
+    "asiaccs": ("AsiaCCS", "asiaccs"),
+    "raid": ("RAID", "raid"),
+    "dsn": ("DSN", "dsn"),
+    "popets": ("PETS/PoPETs", "popets"),
+    "conext": ("CoNEXT", "conext"),
+    "imc": ("IMC", "imc"),
+}
+
+
+def canonical_venue(stream: Column) -> Column:
+    """Venue named by the last part of a stream's URI; NULL for an unknown one (a violation
+    that the caller reports)."""
+    key = F.element_at(F.split(F.regexp_replace(strip_uri(stream), "/+$", ""), "/"), -1)
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, (v, _) in VENUES.items() for x in (k, v)]), key)
+
+
+def main_toc(venue: Column, year: Column) -> Column:
+    """Key of a venue's main proceedings of a year."""
+    prefix = F.try_element_at(F.create_map(*[F.lit(x) for v, t in VENUES.values() for x in (v, t)]), venue)
+    return F.concat(prefix, year.cast("string"))
+
+
 def literal_year(value: Column) -> Column:
     """The year of an RDF literal such as ``"2020"^^xsd:gYear``."""
     return F.regexp_replace(F.split(F.trim(value), r"\^")[0], '"', "").try_cast("int")
@@ -157,7 +193,7 @@ UNKNOWN_WORDS = (
 
 
 def relation_key(column: Column) -> Column:
-    """A relating value without outer blanks and letter case; words (and all-zero digests)
-    that stand for "unknown" give NULL."""
+    """A relating value without outer blanks and letter case; words, and digests (32 digits or
+    more) all of zeros, that stand for "unknown" give NULL.  Short values are values."""
     text = F.lower(F.regexp_replace(column.cast("string"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    return F.when(~text.isin(*UNKNOWN_WORDS) & ~text.rlike("^0+$"), text)
+    return F.when(~text.isin(*UNKNOWN_WORDS) & ~text.rlike("^0{32,}$"), text)

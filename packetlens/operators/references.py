@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlens.operators.packed import split_packed
+from packetlens.runtime import materialize
 
 MATCH = ("simple", "partial", "full")
 
@@ -35,7 +35,8 @@ def orphan_references(
     With ``at``, ``valid_from`` and ``valid_to`` a target counts only if it exists at the
     reference's time: ``valid_from <= at`` and (``valid_to`` NULL or ``> at``); a reference
     without time then finds nothing, a target without ``valid_from`` is never there.
-    Repeated references stay repeated; an empty target table makes every checked reference
+    References are written once, as every mask reads them (and writes happen when this is
+    called); masks that no row has cost no join.  Repeated references stay repeated; an empty target table makes every checked reference
     an orphan.  The joins are shuffle joins that adaptive execution splits at hot keys, or
     broadcast joins where the optimiser has measured the target side as small.
     """
@@ -61,8 +62,10 @@ def orphan_references(
         tests = [F.col(f"`{c}`").isNull() if m else F.col(f"`{c}`").isNotNull() for c, m in zip(ref_keys, mask)]
         return refs.where(reduce(lambda a, b: a & b, tests))
 
-    parts = []
-    for mask in product((False, True), repeat=len(ref_keys)):
+    refs = materialize(refs, "references")
+    present = refs.select(*[F.col(f"`{c}`").isNull().alias(f"m{i}") for i, c in enumerate(ref_keys)]).distinct().collect()
+    parts = [refs.where(F.lit(False))]
+    for mask in sorted(tuple(r) for r in present):  # at most two to the number of key columns
         used = [i for i, null in enumerate(mask) if not null]
         if not used:
             continue  # a wholly NULL key passes under every rule

@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 from packetlens.runtime import materialize
 
 
-def numbered(df: DataFrame, *, order: Sequence[str], out: str) -> DataFrame:
-    """Consecutive numbers from 1 along a total order, without sorting everything in one task:
-    rows go to ranges of the order, ranges are numbered inside, their sizes are summed."""
-    placed = materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
-    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    out_rows = placed.join(sizes.select("__p", before.alias("__before")), "__p")
-    return out_rows.withColumn(out, (F.col("__before") + inside).cast("long")).drop("__p", "__before")
+def numbered(df: DataFrame, *, order: Sequence[str], out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Consecutive numbers from 1 along a total order, of the whole table or (``by``) of every
+    key, without sorting a table or a key in one task: rows go to ranges of the order, are
+    numbered inside, and the sizes of the ranges are summed."""
+    laid = materialize(df.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    sizes = laid.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__p").alias("__q"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__p").orderBy(*order))
+    same = [F.col("__p") == F.col("__q"), *[F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]]
+    rows = laid.withColumn("__i", inside).join(sizes, reduce(lambda x, y: x & y, same))
+    return rows.withColumn(out, (F.col("__before") + F.col("__i")).cast("long")).select(*df.columns, out)
 
 
 def first_wins(df: DataFrame, *, key: Column, order: Sequence[str], number: str | None = None, prefix: str = "P") -> DataFrame:
@@ -79,12 +82,7 @@ def attempt_lineage(df: DataFrame, *, visit: str, order: Sequence[str], attempt:
 
 
 def dense_ids(df: DataFrame, *, value: str, out: str) -> DataFrame:
-    """Distinct values with their alphabetical index from 0.
-
-    Ranks run inside first-character ranges whose sizes are summed first, so no task sorts
-    all values."""
-    d = df.select(value).where(F.col(value).isNotNull()).distinct().withColumn("__c", F.substring(value, 1, 2))
-    sizes = d.groupBy("__c").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("__c").orderBy(value)) - 1
-    return d.join(sizes.select("__c", before.alias("b")), "__c").select(value, (F.col("b") + rank).cast("long").alias(out))
+    """Distinct values with their alphabetical index from 0, numbered by ranges of the values,
+    so it does not matter how many of them begin alike."""
+    d = df.select(value).where(F.col(value).isNotNull()).distinct()
+    return numbered(d, order=[value], out=out).withColumn(out, F.col(out) - 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.functions import text as T
@@ -104,47 +104,78 @@ rp AS (SELECT record_id FROM ret WHERE regexp_matches(title,'{TITLE_TRAFFIC}','i
 fl AS (SELECT record_id, venue_family='Measurement' AS G, record_id IN (SELECT record_id FROM rr) AS R, record_id IN (SELECT record_id FROM rp) AS P FROM ret),
 lb AS (SELECT *, concat_ws(' | ', CASE WHEN G THEN 'G' END, CASE WHEN R THEN 'R' END, CASE WHEN P THEN 'P' END) AS membership FROM fl WHERE G OR R OR P)"""
 
-#: fixed values: ordered rules (condition on lower-case label, toc and title; outcome)
-_RULES = (
-    ("regexp_like(label, 'workshop|supplement|associated')", "Non-main or associated track", False, "E01"),
-    ("label like '%companion%' or regexp_like(toc, '[0-9]{4}c$')", "Companion paper", False, "E01"),
-    ("regexp_like(concat(label, ' ', title), 'poster|demo|competition')", "Poster demo or competition item", False, "E02"),
-    ("concat(label, ' ', title) like '%abstract%'", "Abstract-only publication", False, "E02"),
-    ("label like '%short paper%'", "Venue-designated short paper", False, "E02"),
-    ("toc <> expected", "Non-main track", False, "E01"),
-)
+#: fixed values: patterns of the ordered rules
+SIDE_TRACKS = "workshop|soups|cset|woot|foci|bridge|supplement"
+SHORT_FORMS = "poster|demo|competition"
 
 
 def classify_records(df: DataFrame) -> DataFrame:
-    """First matching rule of an ordered chain over ``title, label, toc, expected``."""
-    chain = None
-    for cond, kind, kept, code in _RULES:
-        value = F.struct(F.lit(kind).alias("publication_type"), F.lit(kept).alias("retained"), F.lit(code).alias("code"))
-        chain = F.when(F.expr(cond), value) if chain is None else chain.when(F.expr(cond), value)
-    main = F.struct(F.lit("Full-paper status to verify").alias("publication_type"), F.lit(True).alias("retained"), F.lit("R01").alias("code"))
-    return df.select("record_id", chain.otherwise(main).alias("c")).select("record_id", "c.*")
+    """First of eleven ordered rules that a record meets: ``record_id, track, publication_type,
+    retained, code``.  ``df`` has ``record_id, title, toc, label, types`` (letter case does not
+    matter), ``venue`` (canonical) and ``year``; missing texts count as empty.  The clause that
+    names a venue binds closer than the alternative before it."""
+    title, toc, label, types = (F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("title", "toc", "label", "types"))
+    main = F.coalesce(toc == T.main_toc(F.col("venue"), F.col("year")), F.lit(False))
+    named = F.coalesce(F.nullif("label", F.lit("")), "toc")
+    journal = F.coalesce(F.nullif(label, F.lit("")), toc)
+
+    def at(venue: str) -> Column:
+        return F.coalesce(F.col("venue") == venue, F.lit(False))
+
+    def among(pattern: str, *parts: Column) -> Column:
+        return F.concat_ws(" ", *parts).rlike(pattern)
+
+    rules = (
+        (types.contains("editorship"), F.lit("Proceedings metadata record"), "Proceedings container", "E01"),
+        (at("PETS/PoPETs") & main & types.contains("article"), F.lit("PoPETs full research paper presented at PETS"), "Full research paper PoPETs article", "R01"),
+        (types.contains("article"), journal, "Journal article cross-listed in conference stream", "E01"),
+        (among(SIDE_TRACKS, label, toc), named, "Non-main or associated track", "E01"),
+        (label.contains("companion") | toc.rlike(r"www\d{4}c$"), named, "Companion paper", "E01"),
+        (among(SHORT_FORMS, label, toc, title), named, "Poster demo or competition item", "E02"),
+        (among("abstract", label, title) | (at("SIGMETRICS") & main), named, "Abstract-only publication", "E02"),
+        (label.contains("short paper") | toc.rlike("conext2023c$") | (at("CoNEXT") & (F.col("year") >= 2024) & main), named, "Venue-designated short paper", "E02"),
+        (at("NeurIPS") & (toc == "neurips2021db"), F.lit("Datasets and Benchmarks full archival special track"), "Full research paper", "R01"),
+        (~main, named, "Non-main track", "E01"),
+    )
 
+    def outcome(track: Column, kind: str, code: str) -> Column:
+        return F.struct(track.alias("track"), F.lit(kind).alias("publication_type"), F.lit(code == "R01").alias("retained"), F.lit(code).alias("code"))
 
-def classify_case_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = F.regexp_replace(F.lower(F.coalesce("venue", F.lit(""))), "[^a-z]", "")
-    year = F.regexp_replace(F.coalesce("year", F.lit("")), "[^0-9]", "")
-    return classify_records(
-        _pubs(spark, sf_dir).select(
-            "record_id", F.lower(F.coalesce("title", F.lit(""))).alias("title"),
-            F.lower(F.coalesce("publication_type", F.lit(""))).alias("label"),
-            F.concat(letters, year).alias("toc"),
-            F.concat(letters, F.when(F.length(year) == 4, year).otherwise("")).alias("expected"),
-        )
-    )
+    chain = F
+    for met, *rest in rules:
+        chain = chain.when(met, outcome(*rest))
+    last = outcome(F.lit("Main research proceedings"), "Full-paper status to verify", "R01")
+    return df.select("record_id", chain.otherwise(last).alias("c")).select("record_id", "c.*")
 
 
-_CLASSIFY_SQL = """WITH b AS (SELECT record_id, lower(coalesce(title,'')) AS title, lower(coalesce(publication_type,'')) AS label,
- regexp_replace(lower(coalesce(venue,'')),'[^a-z]','','g') AS v, regexp_replace(coalesce(year,''),'[^0-9]','','g') AS y FROM publications),
-c AS (SELECT *, v||y AS toc, v||CASE WHEN length(y)=4 THEN y ELSE '' END AS expected FROM b),
-k AS (SELECT record_id, CASE WHEN regexp_matches(label,'workshop|supplement|associated') THEN 1 WHEN label LIKE '%companion%' OR regexp_matches(toc,'[0-9]{4}c$') THEN 2
- WHEN regexp_matches(label||' '||title,'poster|demo|competition') THEN 3 WHEN label||' '||title LIKE '%abstract%' THEN 4 WHEN label LIKE '%short paper%' THEN 5 WHEN toc<>expected THEN 6 ELSE 7 END AS r FROM c)
-SELECT record_id, ['Non-main or associated track','Companion paper','Poster demo or competition item','Abstract-only publication','Venue-designated short paper','Non-main track','Full-paper status to verify'][r] AS publication_type,
- r=7 AS retained, ['E01','E01','E02','E02','E02','E01','R01'][r] AS code FROM k"""
+def classify_case_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain over all publications.  Streams, table-of-contents keys and record types, which
+    the table does not have, are dealt out by the length of the title, so every rule is met."""
+    n = F.length(F.coalesce("title", F.lit("")))
+    stream = F.concat(F.lit("<https://streams.example/conf/"), F.element_at(F.array(*[F.lit(k) for k in T.VENUES]), n % len(T.VENUES) + 1), F.lit("/>"))
+    year = F.coalesce(F.nullif(F.regexp_extract("year", "20[0-9]{2}", 0), F.lit("")).cast("int"), F.lit(2021))
+    p = _pubs(spark, sf_dir).select(
+        "record_id", "title", F.col("publication_type").alias("label"), T.canonical_venue(stream).alias("venue"), year.alias("year"), n.alias("n"),
+    )
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("", "c", "db", "", "w-foci", "")]), F.col("n") % 6 + 1)
+    types = F.when(F.col("n") % 11 == 0, "Editorship").when(F.col("n") % 7 == 0, "Article").otherwise("Inproceedings")
+    return classify_records(p.withColumn("toc", F.concat(T.main_toc(F.col("venue"), F.col("year")), suffix)).withColumn("types", types))
+
+
+_CLASSIFY_SQL = f"""WITH b AS (SELECT record_id, lower(coalesce(title,'')) AS title, publication_type AS label_, lower(coalesce(publication_type,'')) AS label, length(coalesce(title,'')) AS n,
+ coalesce(CAST(nullif(regexp_extract(year,'20[0-9]{{2}}'),'') AS INTEGER),2021) AS y FROM publications),
+c AS (SELECT *, {[v for v, _ in T.VENUES.values()]}[n%16+1] AS venue, {[t for _, t in T.VENUES.values()]}[n%16+1]||y AS expected, ['','c','db','','w-foci',''][n%6+1] AS suf,
+ CASE WHEN n%11=0 THEN 'editorship' WHEN n%7=0 THEN 'article' ELSE 'inproceedings' END AS types FROM b),
+t AS (SELECT *, expected||suf AS toc, suf='' AS main FROM c),
+k AS (SELECT *, CASE WHEN types='editorship' THEN 1 WHEN venue='PETS/PoPETs' AND main AND types='article' THEN 2 WHEN types='article' THEN 3
+ WHEN regexp_matches(label||' '||toc,'{SIDE_TRACKS}') THEN 4 WHEN label LIKE '%companion%' OR regexp_matches(toc,'www[0-9]{{4}}c$') THEN 5
+ WHEN regexp_matches(label||' '||toc||' '||title,'{SHORT_FORMS}') THEN 6 WHEN label||' '||title LIKE '%abstract%' OR (venue='SIGMETRICS' AND main) THEN 7
+ WHEN label LIKE '%short paper%' OR toc LIKE '%conext2023c' OR (venue='CoNEXT' AND y>=2024 AND main) THEN 8 WHEN venue='NeurIPS' AND toc='neurips2021db' THEN 9 WHEN NOT main THEN 10 ELSE 11 END AS r FROM t)
+SELECT record_id, CASE r WHEN 1 THEN 'Proceedings metadata record' WHEN 2 THEN 'PoPETs full research paper presented at PETS' WHEN 3 THEN coalesce(nullif(label,''),toc)
+ WHEN 9 THEN 'Datasets and Benchmarks full archival special track' WHEN 11 THEN 'Main research proceedings' ELSE coalesce(nullif(label_,''),toc) END AS track,
+ ['Proceedings container','Full research paper PoPETs article','Journal article cross-listed in conference stream','Non-main or associated track','Companion paper','Poster demo or competition item',
+ 'Abstract-only publication','Venue-designated short paper','Full research paper','Non-main track','Full-paper status to verify'][r] AS publication_type,
+ r IN (2,9,11) AS retained, ['E01','R01','E01','E01','E01','E02','E02','E02','R01','E01','R01'][r] AS code FROM k"""
 
 
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,10 +275,14 @@ def list_ids_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scheme ids in design lists that name no scheme."""
-    d = table(spark, sf_dir, "evaluation_designs").select("design_id", F.explode(T.split_ids(F.col("scheme_ids"))).alias("scheme_id"))
-    s = table(spark, sf_dir, "class_schemes").select("scheme_id")
-    return d.distinct().join(s, "scheme_id", "left_anti").select("design_id", "scheme_id")
+    """Dataset and scheme ids in design lists that name no record in force."""
+    d = table(spark, sf_dir, "evaluation_designs")
+    parts = []
+    for column, target, key in (("dataset_ids", "canonical_datasets", "dataset_id"), ("scheme_ids", "class_schemes", "scheme_id")):
+        ids = d.select("design_id", F.lit(column).alias("field"), F.explode(T.split_ids(F.col(column))).alias("id")).distinct()
+        there = table(spark, sf_dir, target).where("withdrawn_at is null").select(F.col(key).alias("id"))
+        parts.append(ids.join(there, "id", "left_anti").select("design_id", "field", "id"))
+    return parts[0].unionByName(parts[1])
 
 
 def _manifest(spark, sf_dir):
@@ -268,17 +303,19 @@ _HOST_SQL = r"nullif(regexp_extract(url,'^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?
 
 
 def allowlist_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First reason to reject a session: size, no host, host not allowed, another class."""
+    """First reason to reject a record: too few packets, its session names no host, several
+    hosts, a host that is not allowed, or one of another class.  Every class that is the name
+    of a host allows that host."""
     m = _manifest(spark, sf_dir)
     host = T.normalize_host(F.regexp_replace(F.try_parse_url(F.col("url"), F.lit("HOST")), r"(?i)^www\.", ""))
-    allowed = m.groupBy(F.col("class_name").alias("host")).agg(F.count(F.lit(1)).alias("n")).where("n >= 20").select(
-        "host", F.col("host").alias("annotated_class")
-    )
-    j = m.select("record_no", "packet_count", "class_name", host.alias("host")).join(allowed, "host", "left")
+    m = m.select("record_no", "session_id", "packet_count", F.lower(F.trim("class_name")).alias("class_name"), host.alias("host"))
+    named = m.groupBy("session_id").agg(F.min("host").alias("host"), F.max("host").alias("other"))
+    allowed = m.where("class_name like '%.%'").select(F.rtrim("class_name", F.lit(".")).alias("host")).distinct()
+    j = m.drop("host").join(named, "session_id").join(allowed.withColumn("annotated_class", F.col("host")), "host", "left")
     reason = (
         F.when(F.col("packet_count") < 10, "below_minimum_session_packets").when(F.col("host").isNull(), "no_sni")
-        .when(F.col("annotated_class").isNull(), "sni_not_allowlisted")
-        .when(F.col("annotated_class") != F.col("class_name"), "scheduled_class_mismatch").otherwise("")
+        .when(F.col("host") != F.col("other"), "ambiguous_sni").when(F.col("annotated_class").isNull(), "sni_not_allowlisted")
+        .when(~F.rtrim("class_name", F.lit(".")).eqNullSafe(F.col("annotated_class")), "scheduled_class_mismatch").otherwise("")
     )
     return j.select("record_no", reason.alias("rejection_reason"), "annotated_class")
 
@@ -288,11 +325,12 @@ def reject_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allowlist_cascade(spark, sf_dir).groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("sessions"))
 
 
-_ALLOW_SQL = rf"""m AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM session_manifest),
-al AS (SELECT class_name AS host FROM m GROUP BY 1 HAVING COUNT(*)>=20),
+_ALLOW_SQL = rf"""m AS (SELECT *, rtrim(lower(trim(class_name)),'.') AS cls FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM session_manifest)),
+al AS (SELECT DISTINCT cls AS host FROM m WHERE lower(trim(class_name)) LIKE '%.%'),
 h AS (SELECT *, nullif(regexp_replace(regexp_replace(lower({_HOST_SQL}),'^www\.',''),'\.+$',''),'') AS host_ FROM m),
-ac AS (SELECT record_no, CASE WHEN packet_count<10 THEN 'below_minimum_session_packets' WHEN host_ IS NULL THEN 'no_sni' WHEN al.host IS NULL THEN 'sni_not_allowlisted'
- WHEN al.host<>class_name THEN 'scheduled_class_mismatch' ELSE '' END AS rejection_reason, al.host AS annotated_class FROM h LEFT JOIN al ON al.host=h.host_)"""
+nm AS (SELECT session_id, MIN(host_) AS host_, MAX(host_) AS other FROM h GROUP BY 1),
+ac AS (SELECT record_no, CASE WHEN packet_count<10 THEN 'below_minimum_session_packets' WHEN nm.host_ IS NULL THEN 'no_sni' WHEN nm.host_<>other THEN 'ambiguous_sni' WHEN al.host IS NULL THEN 'sni_not_allowlisted'
+ WHEN cls IS DISTINCT FROM al.host THEN 'scheduled_class_mismatch' ELSE '' END AS rejection_reason, al.host AS annotated_class FROM m JOIN nm USING (session_id) LEFT JOIN al ON al.host=nm.host_)"""
 
 
 def attempt_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,16 +339,18 @@ def attempt_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of each cell in pseudo-random but fixed order."""
+    """Sessions of each cell in pseudo-random but fixed order, numbered by ranges of that order."""
     m = _manifest(spark, sf_dir).select("session_id", "configuration_id", "class_name").distinct()
     d = T.digest(F.lit("selection-v1"), F.col("configuration_id"), F.col("class_name"), F.col("session_id"))
-    w = Window.partitionBy("configuration_id", "class_name").orderBy(d, "session_id")
-    return m.select("session_id", "configuration_id", "class_name", F.row_number().over(w).alias("selection_rank"))
+    n = R.numbered(m.withColumn("digest", d), by=["configuration_id", "class_name"], order=["digest", "session_id"], out="selection_rank")
+    return n.drop("digest")
 
 
 def session_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _manifest(spark, sf_dir).select("record_no", "parent_group_id", "packet_count").where("parent_group_id is not null").distinct()
-    d = T.digest(F.lit("session-v1"), F.col("parent_group_id"), F.col("packet_count"))
+    """A name for every record of a parent capture, from the parent and the record's ordinal in it."""
+    m = _manifest(spark, sf_dir).select("record_no", "parent_group_id", "captured_at").where("parent_group_id is not null").distinct()
+    m = R.numbered(m, by=["parent_group_id"], order=["captured_at", "record_no"], out="ordinal")
+    d = T.digest(F.lit("session-v1"), F.col("parent_group_id"), F.col("ordinal"))
     return m.select("record_no", F.concat(F.lit("session_"), F.substring(d, 1, 24)).alias("token"))
 
 
@@ -331,8 +371,8 @@ def split_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _manifest(spark, sf_dir).where("split is not null").withColumn("split", F.lower(F.trim("split")))
     parts = []
     for kind in ("parent_group_id", "pcap_sha256"):
-        k = m.select(F.lower(F.trim(kind)).alias("value"), "split").where("value is not null and length(value) > 10")
-        parts.append(k.groupBy("value").agg(F.countDistinct("split").alias("splits")).where("splits > 1").select(F.lit(kind).alias("kind"), "value", "splits"))
+        k = m.select(T.relation_key(F.col(kind)).alias("value"), "split").where("value is not null").distinct()
+        parts.append(k.groupBy("value").agg(F.count(F.lit(1)).alias("splits")).where("splits > 1").select(F.lit(kind).alias("kind"), "value", "splits"))
     return parts[0].unionByName(parts[1])
 
 
@@ -423,8 +463,9 @@ ORACLE = {
  UNION ALL SELECT 'class_schemes', COUNT(*), COUNT(DISTINCT scheme_id), CAST(SUM(CASE WHEN lower(trim(complete_scheme_in_dataset))='true' THEN 1 ELSE 0 END) AS BIGINT) FROM class_schemes""",
     "list_ids_roundtrip": """SELECT DISTINCT design_id, CAST(len(l) AS BIGINT) AS n, array_to_string(list_sort(list_distinct(l)),' | ') AS joined FROM
  (SELECT design_id, [trim(x) for x in string_split(coalesce(scheme_ids,''),'|') if trim(x)<>''] AS l FROM evaluation_designs)""",
-    "list_fk_violations": """SELECT DISTINCT design_id, s AS scheme_id FROM (SELECT design_id, trim(UNNEST(string_split(coalesce(scheme_ids,''),'|'))) AS s FROM evaluation_designs)
- WHERE s<>'' AND s NOT IN (SELECT scheme_id FROM class_schemes)""",
+    "list_fk_violations": """SELECT DISTINCT * FROM (SELECT design_id, 'dataset_ids' AS field, trim(UNNEST(string_split(coalesce(dataset_ids,''),'|'))) AS id FROM evaluation_designs
+ UNION ALL SELECT design_id, 'scheme_ids', trim(UNNEST(string_split(coalesce(scheme_ids,''),'|'))) FROM evaluation_designs)
+ WHERE id<>'' AND CASE field WHEN 'dataset_ids' THEN id NOT IN (SELECT dataset_id FROM canonical_datasets WHERE withdrawn_at IS NULL) ELSE id NOT IN (SELECT scheme_id FROM class_schemes WHERE withdrawn_at IS NULL) END""",
     "host_normalize": rf"""WITH {_DM} SELECT nullif(regexp_replace(lower({_HOST_SQL}),'\.+$',''),'') AS host, COUNT(DISTINCT record_no) AS records FROM m WHERE url IS NOT NULL GROUP BY 1""",
     "https_url_valid": rf"""WITH {_DM} SELECT DISTINCT record_no, url LIKE 'https://%' AND {_HOST_SQL} IS NOT NULL AND position('#' IN url)=0 AND NOT regexp_matches(url,'^https://[^/?#]*@') AS valid FROM m WHERE url IS NOT NULL""",
     "allowlist_cascade": f"WITH {_ALLOW_SQL} SELECT * FROM ac",
@@ -432,15 +473,15 @@ ORACLE = {
     "attempt_lineage": f"""WITH {_DM}, l AS (SELECT session_id, record_no, status, row_number() OVER (PARTITION BY session_id ORDER BY captured_at, record_no) AS attempt_index, lag(record_no) OVER (PARTITION BY session_id ORDER BY captured_at, record_no) AS previous_attempt,
  row_number() OVER (PARTITION BY session_id ORDER BY captured_at DESC, record_no DESC)=1 AS is_terminal FROM m) SELECT session_id, record_no, attempt_index, previous_attempt, is_terminal, is_terminal AND status='accepted' AS selected FROM l""",
     "digest_rank": """WITH m AS (SELECT DISTINCT session_id, configuration_id, class_name FROM session_manifest)
- SELECT session_id, configuration_id, class_name, row_number() OVER (PARTITION BY configuration_id, class_name ORDER BY sha256('selection-v1'||chr(0)||configuration_id||chr(0)||class_name||chr(0)||session_id), session_id) AS selection_rank FROM m""",
-    "session_token": """SELECT DISTINCT record_no, 'session_'||substr(sha256('session-v1'||chr(0)||parent_group_id||chr(0)||packet_count),1,24) AS token FROM session_manifest WHERE parent_group_id IS NOT NULL""",
+ SELECT session_id, configuration_id, class_name, row_number() OVER (PARTITION BY configuration_id, class_name ORDER BY sha256(concat_ws(chr(0),'selection-v1',configuration_id,class_name,session_id)), session_id) AS selection_rank FROM m""",
+    "session_token": """SELECT record_no, 'session_'||substr(sha256('session-v1'||chr(0)||parent_group_id||chr(0)||n),1,24) AS token FROM
+ (SELECT record_no, parent_group_id, row_number() OVER (PARTITION BY parent_group_id ORDER BY captured_at, record_no) AS n FROM (SELECT DISTINCT record_no, parent_group_id, captured_at FROM session_manifest WHERE parent_group_id IS NOT NULL))""",
     "label_ids": "SELECT class_name, row_number() OVER (ORDER BY class_name)-1 AS label_id FROM (SELECT DISTINCT class_name FROM session_manifest WHERE class_name IS NOT NULL)",
     "leakage_components": """WITH RECURSIVE t AS (SELECT doc_id, 'r'||record_id AS k FROM documents WHERE record_id IS NOT NULL UNION ALL SELECT doc_id, 's'||sha256(text) FROM documents WHERE text IS NOT NULL),
  h AS (SELECT k, MIN(doc_id) AS m FROM t GROUP BY k), e AS (SELECT DISTINCT doc_id AS a, m AS b FROM t JOIN h USING (k) WHERE doc_id<>m UNION SELECT m, doc_id FROM t JOIN h USING (k) WHERE doc_id<>m),
  w(x,y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT w.x, e.b FROM w JOIN e ON w.y=e.a) SELECT x AS doc_id, MIN(y) AS component FROM w GROUP BY x""",
-    "split_verify": """WITH m AS (SELECT lower(trim(split)) AS split, lower(trim(parent_group_id)) AS p, lower(trim(pcap_sha256)) AS h FROM session_manifest WHERE split IS NOT NULL)
- SELECT 'parent_group_id' AS kind, p AS value, COUNT(DISTINCT split) AS splits FROM m WHERE length(p)>10 GROUP BY p HAVING COUNT(DISTINCT split)>1
- UNION ALL SELECT 'pcap_sha256', h, COUNT(DISTINCT split) FROM m WHERE length(h)>10 GROUP BY h HAVING COUNT(DISTINCT split)>1""",
+    "split_verify": f"""WITH m AS (SELECT lower(trim(split)) AS split, UNNEST(['parent_group_id','pcap_sha256']) AS kind, UNNEST([lower(trim(parent_group_id)), lower(trim(pcap_sha256))]) AS value FROM session_manifest WHERE split IS NOT NULL)
+ SELECT kind, value, COUNT(DISTINCT split) AS splits FROM m WHERE value NOT IN ({", ".join(f"'{w}'" for w in T.UNKNOWN_WORDS)}) AND NOT regexp_matches(value,'^0{{32,}}$') GROUP BY ALL HAVING COUNT(DISTINCT split)>1""",
     "uniqueness_checks": f"WITH {_DM} SELECT session_id, COUNT(*) AS copies FROM m GROUP BY 1 HAVING COUNT(*)>1",
     "left_anti_sessions": "SELECT DISTINCT session_id FROM session_manifest WHERE session_id NOT IN (SELECT session_id FROM session_manifest WHERE lower(trim(split))='test')",
     "semi_sessions": "SELECT DISTINCT session_id FROM session_manifest WHERE session_id IN (SELECT session_id FROM session_manifest WHERE lower(trim(split))='test')",

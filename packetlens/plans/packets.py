@@ -83,9 +83,10 @@ def unordered_pair_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def position_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session views whose positions do not run from 1 without gap."""
+    """Session views whose soundly measured positions (payload fits the IP length) do not run
+    from 1 without gap."""
     g = ["protocol_id", "configuration_id", "class_name", "session_view_index"]
-    o = observations(spark, sf_dir).select(*g, "position").distinct()
+    o = observations(spark, sf_dir).where("frame_length_bytes >= ip_total_length_bytes").select(*g, "position").distinct()
     return o.groupBy(*g).agg(F.min("position").alias("lo"), F.max("position").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> 1 or hi <> n")
 
 
@@ -105,7 +106,7 @@ def first_five_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length, TTL and inter-arrival time of each session view's first five payload packets."""
     g = ["protocol_id", "configuration_id", "class_name", "session_view_index"]
     o = observations(spark, sf_dir).where("tcp_payload_length_bytes > 0")
-    o = o.groupBy(*g, "position").agg(F.max(F.struct("ip_total_length_bytes", "ipv4_ttl", F.coalesce("iat_us", F.lit(-1)).alias("iat"))).alias("x"))
+    o = o.groupBy(*g, "position").agg(F.max(F.struct("ip_total_length_bytes", "ipv4_ttl", F.col("iat_us").alias("iat"))).alias("x"))
     top = flows.first_k(o, keys=g, order=["position"], k=5)
     cells = [
         F.max(F.when(F.col("place") == i, F.col(f"x.{c}"))).alias(f"{n}_{i}")
@@ -115,7 +116,7 @@ def first_five_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P5 = ["protocol_id", "configuration_id", "class_name", "session_view_index"]
-_FIVE_SQL = f"""WITH {OBS_SQL}, o AS (SELECT {', '.join(_P5)}, position, MAX(ROW(ip_total_length_bytes, ipv4_ttl, coalesce(iat_us,-1))) AS x FROM obs WHERE tcp_payload_length_bytes>0 GROUP BY ALL),
+_FIVE_SQL = f"""WITH {OBS_SQL}, o AS (SELECT {', '.join(_P5)}, position, arg_max(ROW(ip_total_length_bytes, ipv4_ttl, iat_us), (ip_total_length_bytes, ipv4_ttl, coalesce(iat_us,-1))) AS x FROM obs WHERE tcp_payload_length_bytes>0 GROUP BY ALL),
 t AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(_P5)} ORDER BY position) AS place FROM o)
 SELECT {', '.join(_P5)}, {', '.join(f"MAX(CASE WHEN place={i} THEN x[{j}] END) AS {n}_{i}" for i in range(1, 6) for j, n in ((1, 'length'), (2, 'ttl'), (3, 'iat')))} FROM t WHERE place<=5 GROUP BY ALL"""
 
@@ -297,7 +298,7 @@ ORACLE = {
  SELECT source_ip, source_port, COUNT(*) AS kept, MIN(packet_id) AS first_id FROM tp JOIN f USING (source_ip, source_port) WHERE packet_id>=f GROUP BY 1,2""",
     "flag_mask_roundtrip": f"WITH {_TCP_SQL} SELECT flags, COUNT(*) AS packets, {_FLAGS_SQL} AS pattern, flags AS back FROM tp GROUP BY flags",
     "unordered_pair_key": f"WITH {OBS_SQL} SELECT pair_id, left_side||'|'||right_side AS unordered_configuration_key FROM pairs",
-    "position_contiguity": f"""WITH {OBS_SQL} SELECT protocol_id, configuration_id, class_name, session_view_index, MIN(position) AS lo, MAX(position) AS hi, COUNT(DISTINCT position) AS n FROM obs GROUP BY ALL
+    "position_contiguity": f"""WITH {OBS_SQL} SELECT protocol_id, configuration_id, class_name, session_view_index, MIN(position) AS lo, MAX(position) AS hi, COUNT(DISTINCT position) AS n FROM obs WHERE frame_length_bytes>=ip_total_length_bytes GROUP BY ALL
  HAVING MIN(position)<>1 OR MAX(position)<>COUNT(DISTINCT position)""",
     "observation_rules": " UNION ALL ".join(
         f"SELECT '{n}' AS \"check\", COUNT(*)=0 AS passed, COUNT(*) AS observed, CAST(0 AS BIGINT) AS expected FROM packet_observations WHERE {c}" for n, c in _OBS_RULES_SQL.items()

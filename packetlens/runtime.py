@@ -2,12 +2,14 @@
 
 Iterative operators cut their lineage by writing a table into the folder named by
 ``spark.checkpoint.dir``; the files survive the loss of any executor.  Only where that
-setting is absent (tests on one machine) a temporary folder is made.
+setting is absent and the master is one machine (tests) a temporary folder is made; on a
+cluster its absence is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master or ""):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="packetlens-")
     return _local_dir

@@ -50,9 +50,10 @@ def read_table(
     return df.repartition(partitions) if partitions else df
 
 
-def write_table(df: DataFrame, path: str, *, fields: Sequence[str], order: Sequence[str] = (), overwrite: bool = False, one_file: bool = True) -> None:
+def write_table(df: DataFrame, path: str, *, fields: Sequence[str], order: Sequence[str] = (), overwrite: bool = False, one_file: bool = False) -> None:
     """Fixed columns, missing values as '', rows in ``order``; without ``overwrite`` an existing
-    table or an unexpected column raises."""
+    table or an unexpected column raises.  One file per task, in order of their names; a single
+    file, which one task has to write, must be asked for."""
     if not overwrite and (extra := set(df.columns) - set(fields)):
         raise ValueError(f"unexpected columns {sorted(extra)}")
     cols = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in df.columns else F.lit("").alias(f) for f in fields]
