@@ -248,7 +248,7 @@ _KEY = "lower(trim({0}, chr(32)||chr(9)||chr(10)||chr(13)))"
 
 def _relation(column: str, tag: str) -> str:
     k = _KEY.format(column)
-    return f"SELECT session_id AS s, '{tag}'||{k} AS k FROM session_manifest WHERE {k} NOT IN ({_UNKNOWN}) AND NOT regexp_matches({k},'^0+$')"
+    return f"SELECT session_id AS s, '{tag}'||{k} AS k FROM session_manifest WHERE {k} NOT IN ({_UNKNOWN}) AND NOT regexp_matches({k},'^0{{32,}}$')"
 
 
 _P3_SQL = f"""WITH RECURSIVE t AS ({_relation("parent_group_id", "p")} UNION {_relation("pcap_sha256", "h")}),
