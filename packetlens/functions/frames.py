@@ -173,6 +173,51 @@ def decode_tcp(frame: bytes, *, ipv6: bool = True, repair: bool = True) -> TcpFr
     )
 
 
+def internet_checksum(data: bytes) -> int:
+    """Ones' complement of the ones' complement sum of 16-bit words."""
+    total = int.from_bytes(data + b"\0" * (len(data) % 2), "big") % 0xFFFF
+    if total == 0 and any(data):
+        total = 0xFFFF
+    return ~total & 0xFFFF
+
+
+def _checked(data: bytes, at: int, before: bytes = b"") -> bytes:
+    """``data`` with the checksum over ``before`` and itself at a place that holds zeros."""
+    return data[:at] + internet_checksum(before + data).to_bytes(2, "big") + data[at + 2 :]
+
+
+def tcp_frame(
+    source: bytes, target: bytes, source_port: int, target_port: int, *, sequence: int, acknowledged: int = 0, flags: int = 0,
+    window: int = 65_535, urgent: int = 0, options: bytes = b"", payload: bytes = b"", tos: int = 0, ttl: int = 64,
+    source_mac: bytes = b"\2" + bytes(5), target_mac: bytes = b"\6" + bytes(5),
+) -> bytes:
+    """Ethernet/IPv4/TCP frame with both checksums, padded to 60 bytes.  IP identification 0, not
+    to be fragmented; options are padded to whole words."""
+    options += b"\0" * (-len(options) % 4)
+    words = 5 + len(options) // 4
+    size = words * 4 + len(payload)
+    if size + 20 > 65_535:
+        raise CaptureError("packet too long")
+    ends = source + target
+    tcp = struct.pack("!HHIIBBHHH", source_port, target_port, sequence, acknowledged, words << 4, flags, window, 0, urgent)
+    tcp = _checked(tcp + options + payload, 16, ends + struct.pack("!HH", TCP, size))
+    ip = _checked(struct.pack("!BBHHHBBH", 0x45, tos, size + 20, 0, 0x4000, ttl, TCP, 0) + ends, 10)
+    return (target_mac + source_mac + IPV4.to_bytes(2, "big") + ip + tcp).ljust(60, b"\0")
+
+
+def canonical_tcp(frame: bytes) -> tuple[int, int]:
+    """Flags and payload length of a frame in the one form that sanitising writes: no VLAN tag,
+    IPv4 with a header of 20 bytes, TCP inside its stated length.  Anything else raises;
+    fragment bits do not matter."""
+    if len(frame) < 54 or frame[12:15] != b"\x08\x00\x45" or frame[23] != TCP:
+        raise CaptureError("not a canonical IPv4/TCP frame")
+    whole, header = int.from_bytes(frame[16:18], "big"), (frame[46] >> 4) * 4
+    payload = whole - 20 - header
+    if whole > len(frame) - 14 or header < 20 or payload < 0:
+        raise CaptureError("lengths of the canonical frame do not fit")
+    return frame[47], payload
+
+
 def try_ipv4_tcp(frame: bytes) -> TcpFrame | None:
     """Unfragmented, sound IPv4/TCP frame, or None for anything else."""
     try:

@@ -44,12 +44,18 @@ def _each(captures: DataFrame, schema: str, rows_of: Callable[[tuple], Iterable[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out: list[list] = []
             for row in pdf.itertuples(index=False):
                 try:
                     found = list(rows_of(row))
                 except (frames.CaptureError, ValueError, IndexError) as problem:
                     found = [{"error": str(problem)}]
-                yield pd.DataFrame([{**dict.fromkeys(names), "path": row[0], **r} for r in found], columns=names)
+                out += [[row[0] if n == "path" else r.get(n) for n in names] for r in found]
+                if len(out) >= 5000:
+                    yield pd.DataFrame(out, columns=names, dtype=object)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=names, dtype=object)
 
     return captures.select(*columns).mapInPandas(run, schema)
 
@@ -165,9 +171,61 @@ def payload_positions(trimmed: DataFrame) -> DataFrame:
 
 
 def bound_to_manifest(captures: DataFrame, manifest: DataFrame, *, path: str, digest: str) -> DataFrame:
-    """Whether each manifest row's file exists with the declared SHA-256: ``ok``, ``missing`` or
-    ``hash_mismatch``."""
-    have = captures.select(F.col("path").alias("__p"), F.sha2("content", 256).alias("__d"))
-    j = manifest.join(have, manifest[path] == F.col("__p"), "left")
-    state = F.when(F.col("__p").isNull(), "missing").when(F.col("__d") != F.col(digest), "hash_mismatch").otherwise("ok")
-    return j.withColumn("binding", state).drop("__p", "__d")
+    """Files and manifest rows side by side, ``binding`` saying how they agree: ``ok``,
+    ``missing`` (no such file), ``hash_mismatch``, ``partial`` (path or digest not given),
+    ``unsafe_path`` (absolute, or with ``..``) or ``unlisted`` (a file that no row names; its
+    path stands in ``path``, all other columns are NULL)."""
+    have = captures.select(F.col("path").alias("__file"), F.sha2("content", 256).alias("__d"))
+    j = manifest.join(have, manifest[path] == F.col("__file"), "full")
+    p, d = F.col(path), F.col(digest)
+    state = (
+        F.when(p.isNull() & d.isNull() & F.col("__file").isNotNull(), "unlisted").when(p.isNull() | d.isNull(), "partial")
+        .when(p.startswith("/") | F.array_contains(F.split(p, "/"), ".."), "unsafe_path")
+        .when(F.col("__file").isNull(), "missing").when(F.col("__d") != d, "hash_mismatch").otherwise("ok")
+    )
+    return j.withColumn("binding", state).withColumn(path, F.coalesce(path, "__file")).drop("__d", "__file")
+
+
+def captures_from_packets(packets: DataFrame, *, path: str, order: list[str], payload: str | None = None) -> DataFrame:
+    """``path, content``: one capture per ``path`` of packets ``us, source_ip, source_port,
+    destination_ip, destination_port, sequence, flags`` and ``payload_length`` (zeros) or the
+    bytes in ``payload``.  Addresses are IPv4.  A capture is one value, so the packets of a path
+    meet in one task."""
+    body = F.col(payload) if payload else F.lit(None).cast("binary")
+    rows = packets.select(
+        F.col(path).alias("path"), "us", "source_ip", "source_port", "destination_ip", "destination_port", "sequence", "flags",
+        "payload_length" if "payload_length" in packets.columns else F.lit(0).alias("payload_length"), body.alias("body"),
+        F.struct(*order).alias("at"),
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ipaddress
+
+        known: dict[str, bytes] = {}
+
+        def packed(text: str) -> bytes:
+            if text not in known:
+                known[text] = ipaddress.IPv4Address(text).packed
+            return known[text]
+
+        now, records, done = None, [], []
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.path != now:
+                    if records:
+                        done.append((now, sanitize.write_capture(records)))
+                    now, records = r.path, []
+                data = bytes(r.payload_length) if r.body is None else bytes(r.body)
+                frame = frames.tcp_frame(
+                    packed(r.source_ip), packed(r.destination_ip), int(r.source_port), int(r.destination_port),
+                    sequence=int(r.sequence), flags=int(r.flags), payload=data,
+                )
+                records.append((int(r.us), len(frame), frame))
+            if done:
+                yield pd.DataFrame(done, columns=["path", "content"])
+                done = []
+        if records:
+            yield pd.DataFrame([(now, sanitize.write_capture(records))], columns=["path", "content"])
+
+    laid = rows.repartition("path").sortWithinPartitions("path", "at").drop("at")
+    return laid.mapInPandas(run, "path string, content binary")

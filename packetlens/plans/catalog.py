@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packetlens.plans import audit, packets, problems, shifts
+from packetlens.plans import audit, captures, packets, problems, shifts
 
-_PARTS = (problems, shifts, audit, packets)
+_PARTS = (problems, shifts, audit, packets, captures)
 
 
 def queries() -> dict:
