@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packetlens.plans import audit, captures, packets, problems, shifts
+from packetlens.plans import audit, captures, packets, problems, shifts, verification
 
-_PARTS = (problems, shifts, audit, packets, captures)
+_PARTS = (problems, shifts, audit, packets, captures, verification)
 
 
 def queries() -> dict:
