@@ -281,8 +281,9 @@ def shared_spans(
     Short runs are told by 64 bits through Bloom filters (too many cost work, none is lost),
     long runs and windows by 128 bits.  A passage copied to a third of all documents is one
     pre-aggregated row per task in every aggregation; the way back to its places is a join
-    that adaptive execution splits.  Up to ``broadcast_hashes`` repeated hashes (counted) are
-    sent to the runs, more meet them in a shuffle join.  Writes its intermediate tables when
+    that adaptive execution splits.  Up to ``broadcast_hashes`` repeated hashes, and places of
+    repeated runs, (both counted) are sent to the runs and to the texts; more meet them in a
+    shuffle join.  Writes its intermediate tables when
     it is called.
     """
     if length < SHORTEST:
@@ -296,20 +297,27 @@ def shared_spans(
     repeated = F.broadcast(repeated) if repeated.count() <= broadcast_hashes else repeated.hint("merge")
     kept = materialize(runs.join(repeated, "h", "left_semi").select("doc", "at", "h"), "kept")
     release(runs)
+    few = kept.count() <= broadcast_hashes
+
+    def beside(table: DataFrame, small: bool) -> DataFrame:
+        """Places by document go to the texts while they are few; else both are shuffled."""
+        return F.broadcast(table) if small else table
+
     marked = materialize(kept.groupBy("doc").agg(F.collect_set("at").alias("ats")), "marked")
-    texts = docs.join(marked, "doc")
+    texts = docs.join(beside(marked, few), "doc")
     long_runs = materialize(
         texts.mapInPandas(_long_runs(length), f"h long, g long, doc {kind}, at long, size long"), "long"
     )
     whole = materialize(_in_several(long_runs).select("doc", "at", "size").distinct(), "whole")
     release(long_runs)
     covered = whole.groupBy("doc").agg(F.collect_list(F.struct("at", "size")).alias("covered"))
+    covered = beside(covered, whole.count() <= broadcast_hashes)
     open_runs = texts.join(covered, "doc", "left").mapInPandas(_open_runs(length), "h long")
     open_runs = materialize(open_runs.distinct(), "open")
     open_runs = F.broadcast(open_runs) if open_runs.count() <= broadcast_hashes else open_runs.hint("merge")
     owners = kept.join(open_runs, "h", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("open"))
     windows = materialize(
-        texts.join(owners, "doc").mapInPandas(_open_windows(length), f"h long, g long, doc {kind}, at long"), "windows"
+        texts.join(beside(owners, few), "doc").mapInPandas(_open_windows(length), f"h long, g long, doc {kind}, at long"), "windows"
     )
     ends = _in_several(windows).select("doc", "at", F.lit(length).cast("long").alias("size"))
     parts = whole.unionByName(ends).select("doc", F.col("at").alias("lo"), (F.col("at") + F.col("size")).alias("hi"))
