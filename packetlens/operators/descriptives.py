@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetlens.operators.distances import running_sums
@@ -75,12 +75,16 @@ def average_ranks(df: DataFrame, *, keys: Sequence[str], value: str, out: str, d
     return df.withColumn(out, rank + (F.count(F.lit(1)).over(tied) - 1) / 2.0)
 
 
+def correlation(left: str, right: str) -> Column:
+    """Pearson's correlation within -1..1, NULL where a side is constant."""
+    r = F.try_divide(F.covar_pop(left, right), F.stddev_pop(left) * F.stddev_pop(right))
+    return F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def spearman(df: DataFrame, *, keys: Sequence[str], left: str, right: str) -> DataFrame:
     """Rank correlation per key, within -1..1; constant input gives NULL."""
     ranked = average_ranks(average_ranks(df, keys=keys, value=left, out="__x"), keys=keys, value=right, out="__y")
-    rho = F.corr("__x", "__y")
-    rho = F.when(~F.isnan(rho), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)))
-    return ranked.groupBy(*keys).agg(rho.alias("rho"))
+    return ranked.groupBy(*keys).agg(correlation("__x", "__y").alias("rho"))
 
 
 def longest_runs(df: DataFrame, *, keys: Sequence[str], value: str) -> DataFrame:

@@ -89,7 +89,7 @@ def directional_mapping(pairs: DataFrame) -> DataFrame:
 def scope_sensitivity(wide: DataFrame, *, ranked: Sequence[str]) -> DataFrame:
     """Compare two scopes' summaries per contrast: ``wide`` has ``heldout_`` and ``all_`` means
     and medians per contrast and feature; ties in the top three go by feature name."""
-    from packetlens.operators.descriptives import average_ranks
+    from packetlens.operators.descriptives import average_ranks, correlation
 
     inside = wide.where(F.col("feature").isin(*ranked))
     r = average_ranks(inside, keys=["contrast"], value="heldout_median", out="heldout_rank", descending=True)
@@ -100,7 +100,7 @@ def scope_sensitivity(wide: DataFrame, *, ranked: Sequence[str]) -> DataFrame:
 
     r = r.withColumn("heldout_top3", top("heldout_median")).withColumn("all_top3", top("all_median"))
     rho = r.groupBy("contrast").agg(
-        F.corr("heldout_rank", "all_rank").alias("rho"),
+        correlation("heldout_rank", "all_rank").alias("rho"),
         F.sum((F.col("heldout_top3") & F.col("all_top3")).cast("long")).alias("top3_overlap"),
     )
     r = r.select("contrast", "feature", "heldout_rank", "all_rank", "heldout_top3", "all_top3")

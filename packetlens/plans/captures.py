@@ -8,6 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType
 
 from packetlens.functions import text as T
 from packetlens.operators import captures as C
@@ -49,7 +50,7 @@ def capture_session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("path").alias("capture_id"), "sessions", "tcp_packets", "skipped", "status")
 
 
-@F.pandas_udf("array<binary>")
+@F.pandas_udf(ArrayType(BinaryType()))
 def _hello_parts(hosts: pd.Series) -> pd.Series:
     """A ClientHello that offers the host, cut into two segments."""
 

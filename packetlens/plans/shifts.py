@@ -221,7 +221,7 @@ rk AS (SELECT *, rank() OVER (PARTITION BY contrast ORDER BY hd DESC)+(COUNT(*)
   rank() OVER (PARTITION BY contrast ORDER BY ad DESC)+(COUNT(*) OVER (PARTITION BY contrast,ad)-1)/2.0E0 AS ar,
   row_number() OVER (PARTITION BY contrast ORDER BY hd DESC, feature)<=3 AS ht, row_number() OVER (PARTITION BY contrast ORDER BY ad DESC, feature)<=3 AS a3
   FROM rs WHERE feature IN ({_FAM})),
-rh AS (SELECT contrast, corr(hr,ar) AS rho, CAST(SUM(CASE WHEN ht AND a3 THEN 1 ELSE 0 END) AS BIGINT) AS overlap FROM rk GROUP BY contrast)"""
+rh AS (SELECT contrast, nullif(corr(hr,ar),'nan'::DOUBLE) AS rho, CAST(SUM(CASE WHEN ht AND a3 THEN 1 ELSE 0 END) AS BIGINT) AS overlap FROM rk GROUP BY contrast)"""
 _SENS_SQL = f"""{SCOPES_SQL}
 SELECT rs.contrast, rs.feature, rs.hm AS heldout_mean, rs.am AS all_mean, ROUND(rs.am-rs.hm,8)+0.0 AS mean_difference, hd_ AS heldout_median, ad_ AS all_median,
   ROUND(ad_-hd_,8)+0.0 AS median_difference, CASE WHEN hd_<>0 THEN ROUND(ad_/hd_,6) END AS median_ratio,
