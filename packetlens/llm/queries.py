@@ -122,13 +122,15 @@ def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions and groups of ``p3_splits``, groups that lie in several splits, and whether the
-    shares of all sessions are within half a percent of 70 / 15 / 15."""
+    shares of all sessions are as near to 70 / 15 / 15 as whole groups allow: within half a
+    percent, or the size of the largest group where that is more."""
     s = p3_splits(spark, sf_dir)
     groups = s.groupBy("group_session_id").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("split").alias("splits"),
         *[F.sum((F.col("split") == x).cast("long")).alias(x) for x in ("train", "validation", "test")],
     )
-    near = [F.abs(F.sum(x) / F.sum("n") - share) <= 0.005 for x, share in (("train", 0.7), ("validation", 0.15), ("test", 0.15))]
+    slack = F.greatest(F.sum("n") * 0.005, F.max("n"))
+    near = [F.abs(F.sum(x) - F.sum("n") * share) <= slack for x, share in (("train", 0.7), ("validation", 0.15), ("test", 0.15))]
     return groups.agg(
         F.sum("n").alias("sessions"), F.count(F.lit(1)).alias("groups"),
         F.sum((F.col("splits") > 1).cast("long")).alias("torn_groups"), (near[0] & near[1] & near[2]).alias("near_target"),
